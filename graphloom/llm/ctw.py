@@ -112,7 +112,7 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), kind, np.int32)), pa.array(k), pa.array(c.n[a : a + (1 << 16)])], names=["kind", "key", "n"])
                 c.__init__()
 
-        for batch, data, off in slices(batches, "text"):
+        for batch, data, off in slices(batches, "text", 1 << 20):
             spans = word_spans(data, off)
             held[0].add(np.concatenate([token_hashes(data, spans), np.full(batch.num_rows, END)]))
             codes, at = coded(data, off, spans)
@@ -120,7 +120,7 @@ def corpus_counts(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             for d, x in enumerate(before(codes, at, depth), 1):
                 gram |= x.astype(np.int64) << (8 * d)
             held[1].add(gram)
-            if max(len(c.keys) for c in held) > 1 << 21:
+            if max(len(c.keys) for c in held) > 1 << 20:
                 yield from out()
         yield from out()
 
@@ -236,7 +236,7 @@ def lm_scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, contexts
 
         number = TaskContext.get().partitionId() << 40
         logs = np.log10((head_counts + 0.5) / scale)
-        for batch, data, off in slices(batches, "text"):
+        for batch, data, off in slices(batches, "text", 1 << 20):
             n = batch.num_rows
             spans = word_spans(data, off)
             at = spans[2]
