@@ -244,7 +244,7 @@ def lm_scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, contexts
             row = np.concatenate([rows_of(at), np.arange(n)])
             k = np.minimum(np.searchsorted(head_words, h), max(0, len(head_words) - 1))
             hit = head_words[k] == h if len(head_words) else np.zeros(len(h), bool)
-            base = np.bincount(row[hit], logs[k[hit]], n)
+            base = np.bincount(row[hit], logs[k[hit]], n).astype(np.float64)
             known = np.bincount(row[hit], minlength=n)
             rest_row, rest = row[~hit], h[~hit]
             order = np.lexsort((rest, rest_row))
