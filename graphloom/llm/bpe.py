@@ -79,7 +79,7 @@ class BatchEncoder:
     The memory of pieces is emptied when it holds `most` of them; that changes no result.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1 << 20):
+    def __init__(self, path: str | None = None, most: int = 1 << 19):
         self.enc, self.most = encoder(path or vocabulary_path()), most
         self._reset()
 
