@@ -30,6 +30,11 @@ def silver_labels(compounds: DataFrame, drugs: DataFrame, inhibits: DataFrame, s
     return pairs.select("compound", "drug", label.alias("label"), F.array_join(F.array_sort(enzymes), ";").alias("enzymes"))
 
 
+def label_conflicts(substrate: DataFrame, non_substrate: DataFrame) -> DataFrame:
+    """drug, gene that are among both edge sets."""
+    return substrate.select(F.col("src").alias("drug"), F.col("dst").alias("gene")).intersect(non_substrate.select("src", "dst"))
+
+
 def herb_drug_scores(labels: DataFrame, contains: DataFrame) -> DataFrame:
     """herb, drug, n_pos, n_labelled, n_compounds, frac_pos (null where nothing is labelled)."""
     rows = contains.select(F.col("src").alias("herb"), F.col("dst").alias("compound")).join(labels, "compound")

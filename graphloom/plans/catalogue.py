@@ -102,9 +102,10 @@ def silver_labels(t: Tables) -> DataFrame:
     return t.labels_()
 
 
-@query("""select a.n_nationkey drug, p.s_nationkey other from nation a join (select distinct s_nationkey from supplier) p on a.n_nationkey = p.s_nationkey""")
+@query(f"""with {ST} select d drug, g gene from st where k = 0 intersect select c_nationkey, c_mktsegment from customer where c_acctbal < 0""")
 def label_conflicts(t: Tables) -> DataFrame:
-    return t.nation.select(F.col("n_nationkey").alias("drug")).join(t.supplier.select(F.col("s_nationkey").alias("other")).distinct(), F.col("drug") == F.col("other"))
+    non = t.customer.where("c_acctbal < 0").select(F.col("c_nationkey").alias("src"), F.col("c_mktsegment").alias("dst"))
+    return labels.label_conflicts(t.roles(0), non)
 
 
 @query(f"with {SCORES} select herb, drug, n_pos, n_labelled, n_compounds, round(frac_pos, {R}) frac_pos from scores")
