@@ -57,6 +57,16 @@ def paragraphs(text: Column, least_words: int = 5) -> Column:
     return F.filter(F.split(text, r"\n\s*\n"), lambda p: F.size(F.filter(F.split(F.trim(p), r"\s+"), lambda w: w != "")) >= least_words)
 
 
+def merged_paragraphs(text: Column, least_words: int = 5, short_words: int = 12) -> Column:
+    """Paragraphs on one line each; short ones in a row are one, so that notes of a few words stay; then the rule above."""
+    words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
+    lines = F.filter(F.transform(F.split(text, r"\n\s*\n"), lambda p: F.trim(F.replace(p, F.lit("\n"), F.lit(" ")))), lambda p: p != "")
+    last = lambda done: F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))
+    joins = lambda done, p: (F.size(done) > 0) & (words(p) < short_words) & (words(last(done)) < short_words)
+    grow = lambda done, p: F.when(joins(done, p), F.array_append(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.concat(last(done), F.lit(" "), p))).otherwise(F.array_append(done, p))
+    return F.filter(F.aggregate(lines, F.array().cast("array<string>"), grow), lambda p: words(p) >= least_words)
+
+
 def sentences(text: Column) -> Column:
     return F.filter(F.split(F.trim(text), r"(?<=[.!?])\s+"), lambda s: s != "")
 

@@ -116,3 +116,32 @@ def optimise_groups(rows: DataFrame, keys: str, tau: float = 0.8, lo: float = 0.
         return pd.DataFrame({keys: [df[keys].iloc[0]], "drug": [df["drug"].iloc[0]], "base": [got["base"]], "value": [got["value"]], "feasible": [got["feasible"]]})
 
     return rows.groupBy(keys, "drug").applyInPandas(solve, f"{keys} {kind[keys]}, drug {kind['drug']}, base double, value double, feasible boolean")
+
+
+def select_cases(solved: DataFrame, picks: DataFrame, k: int = 3) -> DataFrame:
+    """(herb, drug, note, formulation, n_in_scope, share_before, share_after): the k widest formulations of each pick."""
+    whole = Window.partitionBy("formulation", "drug")
+    rows = solved.withColumn("n_in_scope", F.count("*").over(whole)).join(picks, ["herb", "drug"])
+    place = F.row_number().over(Window.partitionBy("herb", "drug", "note").orderBy(F.desc("n_in_scope"), "formulation"))
+    return rows.withColumn("place", place).where(F.col("place") <= k).select("herb", "drug", "note", "formulation", "n_in_scope", F.col("w0").alias("share_before"), F.col("w").alias("share_after"))
+
+
+def suggest(ingredients: DataFrame, risk: DataFrame, formulation, drugs: list, weights: list[float] | None = None, tau: float = 0.8, lo: float = 0.5, hi: float = 2.0) -> dict:
+    """Weights of one formulation for one or more drugs, or {"error": why there are none}; reads that formulation only."""
+    if not drugs:
+        return {"error": "no drug given"}
+    w0 = base_weights(ingredients.where(F.col("formulation") == F.lit(formulation)))
+    rows = w0.join(risk.where(F.col("drug").isin(drugs)), "herb", "left").toPandas()
+    if rows.empty:
+        return {"error": "unknown formulation"}
+    unknown = [d for d in drugs if d not in set(rows["drug"])]
+    if unknown:
+        return {"error": f"no risk for {unknown[0]}"}
+    if rows["herb"].nunique() < 2:
+        return {"error": "a single herb has nothing to exchange with"}
+    matrix = rows.pivot(index="herb", columns="drug", values="risk").reindex(columns=drugs)
+    if matrix.isna().any(axis=None):
+        return {"error": "a herb has no risk"}
+    start = rows.drop_duplicates("herb").set_index("herb")["w0"].reindex(matrix.index)
+    got = optimise(matrix.to_numpy(), start.to_numpy(), None if weights is None else np.asarray(weights, float), None, tau, lo, hi)
+    return {"herbs": list(matrix.index), "w0": start.tolist(), "w": got["w"].tolist(), "base": got["base"], "value": got["value"]}

@@ -120,7 +120,7 @@ def gold_problems(gold: DataFrame, herbs: list[str], drugs: list[str]) -> DataFr
     blank = lambda x: F.trim(F.coalesce(c(x).cast("string"), F.lit(""))) == ""
     rules = {
         "unknown herb": ~c("herb").isin(herbs), "unknown drug": ~c("drug").isin(drugs), "label must be 0 or 1": ~c("label").isin(0, 1), "bad mechanism": ~c("mechanism").isin(MECHANISMS),
-        "bad evidence": ~c("evidence").isin(EVIDENCE), "bad confidence": ~c("confidence").isin(CONFIDENCE), "pmid must be numeric": ~F.coalesce(c("pmid"), F.lit("")).rlike(r"\\A\\d+\\z"),
+        "bad evidence": ~c("evidence").isin(EVIDENCE), "bad confidence": ~c("confidence").isin(CONFIDENCE), "pmid must be numeric": ~F.coalesce(c("pmid"), F.lit("")).rlike(r"\A\d+\z"),
         "missing verification": blank("verification"), "missing citation": blank("citation"),
         "label 0 requires mechanism none": (c("label") == 0) & (c("mechanism") != "none"), "label 1 cannot have mechanism none": (c("label") == 1) & (c("mechanism") == "none"),
     }

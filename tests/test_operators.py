@@ -45,6 +45,8 @@ def test_gold_rules(spark):
     df = spark.createDataFrame([good, good, bad], schema)
     got = {r["problem"] for r in graph.gold_problems(df, ["H"], ["D"]).collect()}
     assert got == {"duplicate", "unknown herb", "pmid must be numeric", "missing verification", "label 0 requires mechanism none"}
+    told = {(r["subject"], r["problem"]) for r in graph.gold_problems(df, ["H"], ["D"]).collect()}
+    assert {p for s, p in told if s == "H|D|123"} == {"duplicate"}
 
 
 def test_silver_truth_table(spark):
