@@ -120,17 +120,21 @@ def chunk_documents(docs: DataFrame, target: int = 170, most: int = 260, overlap
 
 
 def citations(text: Column) -> Column:
-    """Distinct ids of [P1], [G1, P2] and ranges [G1-G4] or [G1-4], in order; a reversed range is its start."""
-    groups = F.regexp_extract_all(text, F.lit(r"\[([PGK]\d+(?:\s*[-,;]\s*[PGK]?\d+)*)\]"), F.lit(1))
-    items = F.flatten(F.transform(groups, lambda g: F.split(g, r"\s*[,;]\s*")))
+    """Distinct ids of [P1], [G1, P2] and ranges [G1-G4] or [G1-4], in order; a reversed range is its start.
+
+    A bracket with anything else, such as a semicolon, cites nothing.
+    """
+    groups = F.regexp_extract_all(text, F.lit(r"\[([A-Z]\d+(?:\s*[-,]\s*[A-Z]?\d+)*)\]"), F.lit(1))
+    items = F.transform(F.flatten(F.transform(groups, lambda g: F.split(g, ","))), lambda x: F.trim(x))
+    span = r"\A([A-Z])(\d+)\s*-\s*[A-Z]?(\d+)\z"
 
     def expand(x: Column) -> Column:
-        kind, a = F.substring(x, 1, 1), F.regexp_extract(x, r"^[PGK](\d+)", 1).cast("int")
-        b = F.regexp_extract(x, r"-\s*[PGK]?(\d+)$", 1)
-        stop = F.when(b == "", a).otherwise(F.greatest(a, F.expr("null").cast("int"), b.try_cast("int")))
-        return F.transform(F.sequence(a, stop), lambda n: F.concat(kind, n.cast("string")))
+        kind, a, b = (F.regexp_extract(x, span, i) for i in (1, 2, 3))
+        first, last = a.try_cast("long"), b.try_cast("long")
+        numbers = F.sequence(first, F.greatest(first, last))
+        return F.when(x.rlike(span), F.transform(numbers, lambda n: F.concat(kind, n.cast("string")))).otherwise(F.array(x))
 
-    return F.array_distinct(F.flatten(F.transform(F.filter(items, lambda x: x.rlike(r"^[PGK]\d+")), expand)))
+    return F.array_distinct(F.flatten(F.transform(items, expand)))
 
 
 #: Words without content.
@@ -179,3 +183,9 @@ def ground_triples(rows: DataFrame, entities: DataFrame) -> DataFrame:
         .when(~inside("subject"), "subject not in passage").when(~inside("object"), "object not in passage").when(F.col("s").isNull(), "subject unknown").when(F.col("o").isNull(), "object unknown")
     )
     return broken.unionByName(flat.select("chunk", "s", "r", "o", reason.alias("reason"))).distinct()
+
+
+def make_chunks(docs: DataFrame, **how) -> DataFrame:
+    """Raw texts (key, text) to chunks: cleaned lines, merged paragraphs, then chunk_documents."""
+    ready = F.array_join(merged_paragraphs(clean_text(F.col("text"))), "\n\n")
+    return chunk_documents(docs.select("key", ready.alias("text")), **how)

@@ -40,14 +40,14 @@ def usable_surfaces(lexicon: DataFrame) -> DataFrame:
 def linked_phrases(docs: DataFrame, lexicon: DataFrame, most_words: int = 4) -> DataFrame:
     """(doc_id, text) to (doc_id, entity, place, words): left to right, the longest phrase first, without overlaps.
 
-    Runs of 1 to most_words words meet the lexicon in a join, so neither side needs to fit in a task; a fold over the
+    Runs of 1 to most_words words, one row each and no row with more of its text, meet the lexicon in a join, so neither side needs to fit in a task; a fold over the
     hits of one text drops those that start within a longer or earlier one.  Longer surfaces are never found.
     """
     words = F.filter(F.split(folded(F.col("text")), " "), lambda w: w != "")
-    at = docs.select("doc_id", words.alias("w")).select("doc_id", "w", F.posexplode("w").alias("place", "first"))
-    runs = F.filter(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.slice("w", F.col("place") + 1, n)), lambda a: F.size(a) > 0)
-    runs = F.array_distinct(runs)
-    hits = at.select("doc_id", "place", F.explode(runs).alias("run")).select("doc_id", "place", F.size("run").alias("words"), F.array_join("run", " ").alias("surface")).join(usable_surfaces(lexicon), "surface")
+    run = lambda i, n: F.struct(n.alias("words"), F.array_join(F.slice("w", i + 1, n), " ").alias("surface"))
+    runs = F.transform("w", lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - i)), lambda n: run(i, n)))
+    at = docs.select("doc_id", words.alias("w")).select("doc_id", F.posexplode(runs).alias("place", "runs"))
+    hits = at.select("doc_id", "place", F.inline("runs")).join(usable_surfaces(lexicon), "surface")
     best = hits.groupBy("doc_id", "place").agg(F.max_by(F.struct("words", "entity"), "words").alias("hit"))
     row = F.struct("place", F.col("hit.words").alias("words"), F.col("hit.entity").alias("entity"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<place:int,words:int,entity:string>>").alias("kept"))
@@ -73,10 +73,15 @@ def expand_queries(questions: DataFrame, found: DataFrame, lexicon: DataFrame, p
     return questions.join(extra, "question", "left").select("question", F.concat_ws(" ", "text", "extra").alias("text"))
 
 
-def hashed_embedding(text: Column, size: int = 64) -> Column:
-    """Counts of hashed words: an encoder that needs no model.  Any other column of doubles can take its place."""
-    slots = F.transform(F.filter(F.split(folded(text), " "), lambda w: w != ""), lambda w: (F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % size).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.size(F.filter(slots, lambda s: s == i)).cast("double"))
+def hashed_embedding(texts: DataFrame, key: str, size: int = 64) -> DataFrame:
+    """(key, text) to (key, v): counts of hashed words, an encoder that needs no model.
+
+    Words are hashed once each and counted on the map side.  Any other function of this form can take its place.
+    """
+    words = F.explode_outer(F.filter(F.split(folded(F.col("text")), " "), lambda w: w != ""))
+    slot = (F.conv(F.substring(F.md5("w"), 1, 8), 16, 10).cast("long") % size).cast("int")
+    slots = texts.select(key, words.alias("w")).select(key, slot.alias("slot"))
+    return slots.groupBy(key).agg(F.array(*[F.count_if(F.col("slot") == i).cast("double") for i in range(size)]).alias("v"))
 
 
 def graph_items(found: DataFrame, graph: DataFrame, most: int = 4) -> DataFrame:
@@ -129,7 +134,7 @@ def passages(dense: DataFrame, provenance: DataFrame | None = None, k: int = 5)
 
 
 def hybrid_retrieve(
-    questions: DataFrame, chunks: DataFrame, lexicon: DataFrame, graph: DataFrame, risk: DataFrame, embed: Callable[[Column], Column] = hashed_embedding,
+    questions: DataFrame, chunks: DataFrame, lexicon: DataFrame, graph: DataFrame, risk: DataFrame, embed: Callable[[DataFrame, str], DataFrame] = hashed_embedding,
     alias: bool = True, use_graph: bool = True, facts: bool = True, k_dense: int = 20, k: int = 5, most_graph: int = 4, most_facts: int = 3,
 ) -> DataFrame:
     """(question, item, kind, chunk, text) of a batch of questions; each switch turns a part on.
@@ -138,7 +143,7 @@ def hybrid_retrieve(
     """
     found = first_mentions(linked_phrases(questions.withColumnRenamed("question", "doc_id"), lexicon))
     asked = expand_queries(questions, found, lexicon) if alias else questions
-    dense = cosine_top_k(asked.select("question", embed(F.col("text")).alias("q")), chunks.select("id", embed(F.col("text")).alias("v")), k_dense)
+    dense = cosine_top_k(embed(asked, "question").withColumnRenamed("v", "q"), embed(chunks, "id"), k_dense)
     items = graph_items(found, graph, most_graph) if use_graph else None
     best = passages(dense, provenance_ranking(items) if use_graph else None, k)
     row = lambda kind, chunk, text: ["question", F.concat(F.lit(kind), F.col("rank").cast("string")).alias("item"), F.lit(kind).alias("kind"), chunk.alias("chunk"), F.col(text).alias("text")]

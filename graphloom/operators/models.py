@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.ml.classification import RandomForestClassifier
+import numpy as np
+import pandas as pd
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,6 +123,104 @@ def prior_learner(key: str = "drug") -> FitPredict:
     return lambda train, test: prior_scores(train, test, key)
 
 
+def perceptron_learner(hidden: int = 64, rounds: int = 100, seed: int = 0) -> FitPredict:
+    """A network with one hidden layer on `x`, trained by full-batch steps over the partitions."""
+
+    def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        width = len(train.select("x").first()["x"])
+        model = MultilayerPerceptronClassifier(featuresCol="v", labelCol="y", layers=[width, hidden, 2], maxIter=rounds, seed=seed).fit(train.select(array_to_vector("x").alias("v"), F.col("label").cast("double").alias("y")))
+        return model.transform(test.withColumn("v", array_to_vector("x"))).withColumn("p", vector_to_array("probability")[1]).select(*test.columns, "p")
+
+    return run
+
+
+def propagated_features(nodes: DataFrame, edges: DataFrame, size: int, relations: list[str]) -> DataFrame:
+    """(id, x): a node's own x and, per relation, the mean x of the sources of its edges (zeros without one).
+
+    A graph network whose weights all lie behind the propagation: it is done once, and any learner above follows.
+    """
+    long = nodes.select(F.col("id").alias("src"), F.posexplode("x").alias("dim", "v"))
+    means = edges.where(F.col("etype").isin(relations)).join(long, "src").groupBy("etype", "dst", "dim").agg(F.avg("v").alias("v"))
+    cells = means.groupBy(F.col("dst").alias("id")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "etype", "dim"), "v"))).alias("m"))
+    keys = F.array(*[F.lit(f"{r}|{i}") for r in relations for i in range(size)])
+    near = F.transform(keys, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)))
+    return nodes.join(cells, "id", "left").select("id", F.concat("x", near).alias("x"))
+
+
+def _fit_rows(seen: np.ndarray, y: np.ndarray, v: np.ndarray, reg: float, steps: int = 12) -> np.ndarray:
+    """A vector for each row that fits y where `seen`, given the columns' v (last entry: the row's own bias, fixed at 1)."""
+    u = np.zeros((len(y), v.shape[1]))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(u @ v.T, -30, 30)))
+        grad = (seen * (p - y)) @ v + reg * u
+        curve = np.einsum("ij,jk,jl->ikl", seen * p * (1 - p), v, v) + reg * np.eye(v.shape[1])
+        u -= np.linalg.solve(curve, grad[:, :, None])[:, :, 0]
+    return u
+
+
+def factor_learner(rank: int = 8, rounds: int = 6, reg: float = 0.3, seed: int = 0, most_drugs: int = 4096) -> FitPredict:
+    """Logistic factors with biases of compound and drug; a pair of an unseen compound or drug gets the prior.
+
+    The drug side is a catalogue of `most_drugs` at most (else an error) and its vectors are all the driver holds.
+    Compounds stay in partitions: each round fits their vectors to the drugs' and sends back sums per drug.
+    """
+
+    def run(train: DataFrame, test: DataFrame) -> DataFrame:
+        names = [r["drug"] for r in train.select("drug").distinct().limit(most_drugs + 1).collect()]
+        if len(names) > most_drugs:
+            raise ValueError(f"over {most_drugs} drugs")
+        names.sort()
+        at, d, width = {n: i for i, n in enumerate(names)}, len(names), rank + 2
+        v = np.random.default_rng(seed).normal(0, 0.3, (d, width))
+        v[:, rank], v[:, rank + 1] = 1.0, 0.0  # meets the compound's bias; the drug's own bias
+        lists = train.groupBy("compound").agg(F.collect_list(F.struct("drug", F.col("label").cast("int").alias("label"))).alias("own")).persist()
+
+        def dense(own) -> tuple[np.ndarray, np.ndarray]:
+            seen, y = np.zeros((len(own), d)), np.zeros((len(own), d))
+            for i, pairs in enumerate(own):
+                for p in pairs:
+                    seen[i, at[p["drug"]]] += 1
+                    y[i, at[p["drug"]]] = p["label"]
+            return seen, y
+
+        def rows_of(seen: np.ndarray, y: np.ndarray, v: np.ndarray) -> np.ndarray:
+            fitted = _fit_rows(seen, y, v[:, : rank + 1], reg)
+            return np.hstack([fitted, np.ones((len(y), 1))])
+
+        def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            grad, curve = np.zeros((d, width)), np.zeros((d, width, width))
+            for df in frames:
+                for a in range(0, len(df), 512):
+                    seen, y = dense(df["own"].iloc[a : a + 512])
+                    u = rows_of(seen, y, v)
+                    p = 1 / (1 + np.exp(-np.clip(u @ v.T, -30, 30)))
+                    grad += (seen * (p - y)).T @ u
+                    curve += np.einsum("ij,ik,il->jkl", seen * p * (1 - p), u, u)
+            yield pd.DataFrame({"g": [grad.ravel()], "h": [curve.ravel()]})
+
+        free = np.r_[np.arange(rank), rank + 1]
+        for _ in range(rounds):
+            grad, curve = np.zeros(d * width), np.zeros(d * width * width)
+            for r in lists.mapInPandas(sums, "g array<double>, h array<double>").toLocalIterator():
+                grad += np.array(r["g"])
+                curve += np.array(r["h"])
+            g, h = grad.reshape(d, width)[:, free] + reg * v[:, free], curve.reshape(d, width, width)[:, free][:, :, free] + reg * np.eye(rank + 1)
+            v[:, free] -= np.linalg.solve(h, g[:, :, None])[:, :, 0]
+
+        def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for df in frames:
+                out = [rows_of(*dense(df["own"].iloc[a : a + 512]), v) for a in range(0, len(df), 512)]
+                yield pd.DataFrame({"compound": df["compound"], "u": list(np.vstack(out)) if out else []})
+
+        known = lists.mapInPandas(vectors, f"compound {dict(train.dtypes)['compound']}, u array<double>")
+        drugs = train.sparkSession.createDataFrame([(n, v[i].tolist()) for n, i in at.items()], f"drug {dict(train.dtypes)['drug']}, v array<double>")
+        z = F.aggregate(F.zip_with("u", "v", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+        scored = prior_scores(train, test).join(known, "compound", "left").join(F.broadcast(drugs), "drug", "left")
+        return scored.select(*test.columns, F.coalesce(1 / (1 + F.exp(-z)), "p").alias("p"))
+
+    return run
+
+
 def out_of_fold(pairs: DataFrame, learner: FitPredict, k: int = 5, seed: int = 0, key: str = "compound") -> DataFrame:
     """(compound, drug, fold, p): every pair once, scored by a model that saw no pair of its compound.
 

@@ -334,9 +334,9 @@ def line_quality(t: Tables) -> DataFrame:
     return lines.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count_if(text.garbage_line(F.col("line"))).alias("n_bad"))
 
 
-@query("""select o_orderkey id, case o_orderkey % 4 when 0 then 'G1,G2,G3,P7' when 1 then 'P2,K3' when 2 then 'G4' else '' end cites from orders""")
+@query("""select o_orderkey id, case o_orderkey % 4 when 0 then 'G1,G2,G3,P7' when 1 then 'P2,K3,K4' when 2 then 'G4' else '' end cites from orders""")
 def citation_extract(t: Tables) -> DataFrame:
-    said = F.when(F.col("o_orderkey") % 4 == 0, "It helps [G1-G3]. So it is [P7, G2].").when(F.col("o_orderkey") % 4 == 1, "See [P2] and [K3; P2].").when(F.col("o_orderkey") % 4 == 2, "Odd [G4-1].").otherwise("None [x].")
+    said = F.when(F.col("o_orderkey") % 4 == 0, "It helps [G1-G3]. So it is [P7, G2].").when(F.col("o_orderkey") % 4 == 1, "See [P2] and [K3; P2] or [K3, K4].").when(F.col("o_orderkey") % 4 == 2, "Odd [G4-1].").otherwise("None [x].")
     return t.orders.select(F.col("o_orderkey").alias("id"), F.array_join(text.citations(said), ",").alias("cites"))
 
 

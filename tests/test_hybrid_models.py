@@ -1,10 +1,11 @@
 """Hand-made cases of links, questions, page layouts and pair models."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import text
-from graphloom.operators import compose, hybrid, models
+from graphloom.operators import compose, generation, hybrid, models
 from graphloom.sources import pages
 
 LEX = [("Haridra", "herb:turmeric"), ("turmeric", "herb:turmeric"), ("long pepper", "herb:pippali"), ("pepper", "herb:marica"), ("vāta", "dosha:v"), ("shared", "herb:a"), ("shared", "herb:b"), ("ab", "herb:c")]
@@ -124,3 +125,75 @@ def test_suggest_and_its_errors(spark):
     got = compose.suggest(made, risk, "F", ["d", "e"])
     assert got["w"] == pytest.approx([0.25, 0.75]) and got["value"] < got["base"]
     assert [compose.suggest(made, risk, *a).get("error") for a in (("X", ["d"]), ("F", []), ("F", ["zz"]), ("S", ["d"]), ("Q", ["d"]))] == ["unknown formulation", "no drug given", "no risk for zz", "a single herb has nothing to exchange with", "a herb has no risk"]
+
+
+def test_factors_learn_pairs_and_fall_back(spark):
+    rng = np.random.default_rng(3)
+    u, v = rng.normal(size=(40, 2)), rng.normal(size=(12, 2))
+    y = (u @ v.T > 0).astype(int)
+    every = [(c, d, int(y[c, d])) for c in range(40) for d in range(12)]
+    held = {(c, d) for c, d, _ in every if (c * 7 + d) % 5 == 0}
+    schema = "compound int, drug int, label int"
+    train = spark.createDataFrame([r for r in every if r[:2] not in held], schema)
+    test = spark.createDataFrame([(c, d) for c, d in sorted(held)] + [(999, 0)], "compound int, drug int")
+    got = {(r["compound"], r["drug"]): r["p"] for r in models.factor_learner(rank=2)(train, test).collect()}
+    assert len(got) == len(held) + 1
+    assert got[999, 0] == pytest.approx(train.where("drug = 0").agg(F.avg("label")).first()[0])
+    assert np.mean([(got[k] >= 0.5) == y[k] for k in held]) > 0.85
+    with pytest.raises(ValueError):
+        models.factor_learner(most_drugs=3)(train, test)
+
+
+def test_propagated_features_and_a_network(spark):
+    nodes = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [3.0, 0.0]), ("c", [0.0, 0.0])], "id string, x array<double>")
+    edges = spark.createDataFrame([("r", "a", "c"), ("r", "b", "c"), ("other", "a", "b")], "etype string, src string, dst string")
+    assert rows(models.propagated_features(nodes, edges, 2, ["r"]), "id", "x") == [("a", [1, 2, 0, 0]), ("b", [3, 0, 0, 0]), ("c", [0, 0, 2, 1])]
+    data = spark.createDataFrame([(i, 0, int(i % 2 == 0), [float(i % 2), 1.0]) for i in range(40)], "compound int, drug int, label int, x array<double>")
+    got = models.perceptron_learner(4, 50)(data, data.drop("label")).toPandas()
+    assert ((got["p"] > 0.5) == (got["compound"] % 2 == 0)).all()
+
+
+ITEMS = [(1, "P1", "P", "Haritaki pacifies vata strongly"), (1, "G1", "G", "haritaki is co-mentioned with vata in 3 passage(s) (co-occurrence only; no effect)."), (1, "K1", "K", "score 0.5")]
+
+
+def test_prompts_calls_and_checks(spark):
+    asked = spark.createDataFrame([(1, "What does haritaki do?"), (2, "Else?")], "question int, text string")
+    items = spark.createDataFrame(ITEMS, "question int, item string, kind string, text string")
+    prompts = generation.answer_prompts(asked, items, "KGP")
+    first = {r["question"]: r["prompt"] for r in prompts.collect()}
+    assert first[1].index("[K1]") < first[1].index("[G1]") < first[1].index("[P1] Hari") and "(none)" in first[2]
+
+    def client(prompt):
+        if "Else" in prompt:
+            raise RuntimeError("down")
+        return "Haritaki pacifies vata [P1]. It treats vata disorders [G1]. Moon rocks dance [P9]. Nothing cited."
+
+    got = {r["question"]: r for r in generation.checked_answers(generation.call_client(prompts, client), items).collect()}
+    a, b = got[1], got[2]
+    assert (a["valid"], a["invalid"], a["n_sentences"], a["n_uncited"], a["n_cocite"], a["n_overclaim"]) == (["P1", "G1"], ["P9"], 4, 1, 1, 1)
+    assert a["validity"] == pytest.approx(2 / 3) and a["support"] == pytest.approx(1 / 4) and a["text"].endswith(generation.DISCLAIMER)
+    assert b["error"] == "RuntimeError: down" and b["validity"] is None and b["support"] is None and b["text"].startswith("(the model was unavailable)")
+    assert "co-occurrence" not in rows(generation.without_caution(items).where("kind = 'G'"), "text")[0][0]
+    total = generation.summarise_answers(generation.checked_answers(generation.call_client(prompts, client), items), []).first()
+    assert (total["n"], total["over_reading"]) == (2, 1.0)
+
+
+def test_extraction_goes_on_where_it_stopped(spark):
+    chunks = spark.createDataFrame([("a", "x"), ("b", "y"), ("c", "z")], "id string, text string")
+    log = spark.createDataFrame([("a", ""), ("b", "Timeout: slow")], "chunk string, error string")
+    assert rows(generation.extract_pending(chunks, log, lambda p: p[-1]), "chunk", "raw") == [("b", "y"), ("c", "z")]
+    assert rows(generation.extract_pending(chunks, log, lambda p: p[-1], 1), "chunk") == [("b",)]
+
+
+def test_templates_refuse_gaps(spark):
+    facts = spark.createDataFrame([("a", 0.256), ("n", 12345.6), ("gone", None)], "k string, v double")
+    assert generation.render_template("{{a|pct1}} of {{ n|int }}", facts) == "25.6% of 12,346"
+    with pytest.raises(KeyError):
+        generation.render_template("{{gone}}", facts)
+    with pytest.raises(ValueError):
+        generation.render_template("{{a|odd}}", facts)
+
+
+def test_citation_forms(spark):
+    df = spark.createDataFrame([("[G1-G3] [P2, K1] [G4-2] [A1; B2] [G5-6]",), ("none",), ("",)], "t string")
+    assert [r[0] for r in df.select(text.citations(F.col("t"))).collect()] == [["G1", "G2", "G3", "P2", "K1", "G4", "G5", "G6"], [], []]
