@@ -7,27 +7,46 @@ only up to `most_cells` of them; more are raked in DataFrame operations with the
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .shared import materialize, ship
+from .textkit import column, slices, word_spans
 
 AXES = ("source", "lang", "topic")
 MISSING = "(none)"
+TOPICS = ("notice", "record", "note", "article", "long")
+OWN = ("__source", "__lang", "__topic", "__tokens", "__crc", "__probability", "__sampled")
+
 
+def described(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame:
+    """`keep` columns of rows and __tokens, __topic, __crc of the text, from one look at its bytes.
 
-def token_count(text: str = "text") -> Column:
-    """Words between white space; 0 for null or empty text."""
-    t = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"[\x09-\x0D ]+", " "))
-    return F.when(t == "", F.lit(0)).otherwise(F.length(t) - F.length(F.replace(t, F.lit(" "))) + 1).cast("long")
+    __tokens: words between white space, 0 for null or empty text.  __topic: what kind of text it is, of legal notice,
+    record-like (over one character in 20 is a digit), note (under 100 words), article (under 1,000) and long read.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = np.array(TOPICS, dtype=object)
+        for batch, data, off in slices(batches, text):
+            _, _, at = word_spans(data, off)
+            tokens = np.diff(at)
+            per_row = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])[off])
+            digits, chars = per_row((data >= 48) & (data <= 57)), per_row((data & 0xC0) != 0x80)
+            notice = pc.match_substring(column(batch, text).fill_null(""), "icensed under").to_numpy(zero_copy_only=False)
+            kind = np.select([notice, digits * 20 > chars, tokens < 100, tokens < 1000], [0, 1, 2, 3], 4)
+            crc = np.array([zlib.crc32(data[i:j]) for i, j in zip(off[:-1], off[1:], strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in keep], pa.array(tokens.astype(np.int64)), pa.array(kinds[kind], pa.string()), pa.array(crc)], names=[*keep, "__tokens", "__topic", "__crc"])
 
-def topic_of(tokens: Column, text: str = "text") -> Column:
-    """What kind of text it is: legal notice, record-like (many digits), note, article or long read."""
-    t = F.coalesce(F.col(text), F.lit(""))
-    digits = F.length(t) - F.length(F.translate(t, "0123456789", ""))
-    return F.when(t.contains("icensed under"), "notice").when(digits * 20 > F.length(t), "record").when(tokens < 100, "note").when(tokens < 1000, "article").otherwise("long")
+    schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("__tokens", T.LongType()), T.StructField("__topic", T.StringType()), T.StructField("__crc", T.LongType())])
+    return rows.mapInArrow(run, schema)
 
 
 def _targets(shares: dict[str, float], power: float, given: dict[str, float] | None) -> dict[str, float]:
@@ -107,20 +126,22 @@ def _all():
     return Window.partitionBy(F.lit(1))
 
 
-def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, float] | None = None, given: dict[str, dict[str, float]] | None = None, seed: int = 17, most_cells: int = 200_000, id_col: str = "doc_id") -> DataFrame:
-    """docs' columns and __source, __lang, __topic, __tokens, __probability, __sampled.
+def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, float] | None = None, given: dict[str, dict[str, float]] | None = None, seed: int = 17, most_cells: int = 200_000, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """docs' columns (or `keep` of them, the id among them) and __source, __lang, __topic, __tokens, __probability, __sampled.
 
     A null or empty source or language is the value "(none)".  given: target weights of an axis (values left out get
     none); else a value's target is its token share to the axis' power, made to add up to 1.  Documents without tokens have the
     probability of their cell, 0 if the cell has no tokens.  The draw is a hash of id, text and seed: repeated rows are
-    drawn alike, and a retry draws the same.  An empty table gives no rows.
+    drawn alike, and a retry draws the same.  An empty table gives no rows.  Columns of docs with the names of these are replaced.
     """
     powers = {"source": 0.7, "lang": 0.7, "topic": 1.0} | (powers or {})
     given = given or {}
     name = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(MISSING))
-    rows = ship(docs).withColumn("__tokens", token_count())
-    rows = rows.withColumn("__topic", topic_of(F.col("__tokens"))).withColumn("__source", name("source")).withColumn("__lang", name("lang"))
-    cells = materialize(rows.groupBy(F.col("__source").alias("source"), F.col("__lang").alias("lang"), F.col("__topic").alias("topic")).agg(F.sum("__tokens").alias("tokens")), "cells")
+    docs = ship(docs).drop(*OWN)
+    keep = docs.columns if keep is None else keep
+    named = docs.withColumn("__source", name("source")).withColumn("__lang", name("lang"))
+    seen = described(named.select("__source", "__lang", "text"), ["__source", "__lang"])
+    cells = materialize(seen.groupBy(*[F.col(f"__{a}").alias(a) for a in AXES]).agg(F.sum("__tokens").alias("tokens")), "cells")
     if cells.count() <= most_cells:
         got = cells.orderBy(*AXES).toArrow()
         tokens = got.column("tokens").to_numpy().astype(float)
@@ -137,9 +158,10 @@ def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, fl
         fitted = F.broadcast(fitted) if len(table) <= most_cells else fitted
     else:
         fitted = _rake_frames(cells, powers, given, budget_share, 50).select(*[F.col(a).alias(f"__{a}") for a in AXES], F.col("probability").alias("__probability"))
-    rows = rows.join(fitted, ["__source", "__lang", "__topic"])
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.crc32(F.coalesce("text", F.lit("")).cast("binary")), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
-    return rows.withColumn("__sampled", draw < F.col("__probability"))
+    own = list(dict.fromkeys([*keep, "__source", "__lang"]))
+    rows = described(named.select(*dict.fromkeys([*own, "text"])), own).join(fitted, ["__source", "__lang", "__topic"])
+    draw = F.pmod(F.xxhash64(F.col(id_col), F.col("__crc"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)
+    return rows.withColumn("__sampled", draw < F.col("__probability")).drop("__crc")
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:

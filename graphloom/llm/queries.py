@@ -39,7 +39,7 @@ def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_weights(_read(spark, sf_dir, "documents"))
+    mixed = mixing.mix_weights(_read(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("source", "lang", "topic", "tokens", "probability", "sampled")])
 
 

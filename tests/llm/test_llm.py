@@ -211,6 +211,19 @@ def test_mixing(docs, none):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_mixing_describes_whole_texts(spark):
+    texts = ["", None, " \t\n", "a b\x0bc\rd  e", "é ü\xa0ñ 1", "12 34", "w " * 99, "w " * 100, "w " * 1000, "x licensed under y " * 300, "٣ ٤ ٥"]
+
+    def kind(t):
+        n = len(re.findall(r"[^\x20\x09-\x0D]+", t))
+        many = sum(c in "0123456789" for c in t) * 20 > len(t)
+        return n, "notice" if "icensed under" in t else "record" if many else "note" if n < 100 else "article" if n < 1000 else "long"
+
+    df = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, source string").coalesce(1)
+    got = {r["doc_id"]: (r["__tokens"], r["__topic"], r["__crc"]) for r in mixing.described(df, ["doc_id"]).collect()}
+    assert got == {i: (*kind(t or ""), zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
+
+
 def test_rake_meets_both_marginals():
     rng = np.random.default_rng(5)
     tokens, codes = rng.random(24) + 0.1, [np.arange(24) // 6, np.arange(24) % 6]
