@@ -35,10 +35,10 @@ def described(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = np.array(TOPICS, dtype=object)
-        for batch, data, off in slices(batches, text):
+        for batch, data, off in slices(batches, text, 1 << 18):
             _, _, at = word_spans(data, off)
             tokens = np.diff(at)
-            per_row = lambda flag: np.diff(np.concatenate([[0], np.cumsum(flag, dtype=np.int64)])[off])
+            per_row = lambda flag: np.diff(np.searchsorted(np.flatnonzero(flag), off))
             digits, chars = per_row((data >= 48) & (data <= 57)), per_row((data & 0xC0) != 0x80)
             notice = pc.match_substring(column(batch, text).fill_null(""), "icensed under").to_numpy(zero_copy_only=False)
             kind = np.select([notice, digits * 20 > chars, tokens < 100, tokens < 1000], [0, 1, 2, 3], 4)
