@@ -275,6 +275,30 @@ def test_context_tree_is_a_distribution_and_the_weighted_mixture():
         assert block[0, 1] == pytest.approx(kt(z, o), abs=1e-8) and p[0, 1] == pytest.approx((o + 0.5) / (z + o + 1))
 
 
+@pytest.mark.parametrize("head", [1 << 21, 40])
+def test_lm_scores_keep_every_context(spark, monkeypatch, head):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), rng.integers(2, 10))) for _ in range(6000)]
+    own = [" ".join(rng.choice(words, 60)) for _ in range(400)] + ["", "zz"]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(3)
+    counts = [Counter() for _ in range(6)]
+    runs = lambda t: [(bytes(5) + t.encode() + b"\0")[i : i + 6] for i in range(len(t) + 1)]
+    for t in own[::2]:
+        for g in runs(t):
+            for d in range(6):
+                counts[d][int.from_bytes(g[5 - d : 5], "big"), g[5]] += 1
+    assert len({k[0] for k in counts[5]}) > 1 << 15  # more contexts than the driver's table once held
+    tree = ctw.build_tree([(np.array([k[0] for k in c]), np.array([k[1] for k in c]), np.array(list(c.values()))) for c in counts])
+
+    monkeypatch.setattr(ctw, "HEAD_RUNS", head)
+    monkeypatch.setattr(ctw, "CHUNK", 5000)
+    got = {r["doc_id"]: r["score"] for r in ctw.lm_scores(df, df.where("doc_id % 2 = 0")).collect()}
+    for i, t in enumerate(own):
+        codes = np.frombuffer(t.encode() + b"\0", np.uint8)
+        want = tree.byte_scores(codes, ctw.before(codes, np.array([0, len(codes)]), 5)).astype(float).sum()
+        assert got[i] == pytest.approx(want, rel=1e-5)
+
+
 def test_token_counts(docs, none, texts):
     ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ref.encode_special_tokens = True
