@@ -1,8 +1,9 @@
 """Best-fit packing by patterns: as few sequences as possible of at most `size` tokens.
 
-Only a histogram of piece lengths reaches the driver (at most `size` numbers).  Patterns of up to `depth` lengths that
-fill a sequence are enumerated on a grid of lengths, non-negative least squares gives each pattern's repeats against
-the histogram, the repeats are rounded down, and what is left goes by best fit into the room that is left or into new
+Only a histogram of piece lengths reaches the driver (at most `size` numbers).  Patterns of two lengths that fill a
+sequence are enumerated on a grid of lengths, patterns of up to `depth` lengths that leave little room are generated from
+the lengths that occur, non-negative least squares gives each pattern's repeats against the histogram, the repeats are
+rounded down, and what is left goes by best fit into the room that is left or into new
 sequences, whole runs of equal lengths at a time.  Rows then find their place from their number among the rows of
 their length, which is counted in salted groups, so that one frequent length doesn't meet in one task.
 """
@@ -22,6 +23,7 @@ from .shared import materialize, parts, ship
 from .textkit import column, slices
 
 SIZE = 2048
+FREE = 4.0  # weight of room left free against that of a length's count
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -84,8 +86,70 @@ def patterns(grid: int, depth: int) -> list[tuple[int, ...]]:
     return out
 
 
-def plan_packs(histogram: dict[int, int], size: int = SIZE, grid: int = 512, depth: int = 2) -> list[tuple[tuple[int, ...], int]]:
-    """Sequence contents (lengths in order) and how often each is used; every length is used as often as counted."""
+def _matrix(kinds: list[tuple[int, ...]], grid: int) -> np.ndarray:
+    """How often a pattern has each length; row 0: FREE times the share of a sequence it leaves free, which is to be none."""
+    a = np.zeros((grid + 1, len(kinds)))
+    for j, kind in enumerate(kinds):
+        for n in kind:
+            a[n, j] += 1
+        a[0, j] = FREE * (1 - sum(kind) / grid)
+    return a
+
+
+def generate_patterns(share: np.ndarray, depth: int, rounds: int = 8) -> list[tuple[int, ...]]:
+    """Patterns of up to `depth` lengths against the share of each: for each length the one that lowers the error most, added in rounds."""
+    grid = len(share) - 1
+    own = np.flatnonzero(share)
+    kinds = [k for k in patterns(grid, min(2, depth)) if all(share[n] for n in k)]
+    seen = set(kinds)
+    for _ in range(rounds):
+        a = _matrix(kinds, grid)
+        error = share - a @ nnls(a, share) if kinds else share
+        best = np.full((depth, grid + 1), -np.inf)  # by most lengths and their sum
+        best[0, 0] = 0
+        last = np.zeros((depth, grid + 1), int)
+        for k in range(1, depth):
+            best[k] = best[k - 1]
+            for n in own:
+                more = best[k - 1, : grid + 1 - n] + error[n]
+                better = more > best[k, n:]
+                best[k, n:][better], last[k, n:][better] = more[better], n
+        new = []
+        for n in own:
+            gain = error[n] + best[-1, : grid + 1 - n] + error[0] * FREE * np.arange(grid - n, -1, -1) / grid
+            u, k, kind = int(gain.argmax()), depth - 1, [int(n)]
+            if gain[u] <= 1e-9:
+                continue
+            while k:
+                if last[k, u]:
+                    kind.append(int(last[k, u]))
+                    u -= last[k, u]
+                k -= 1
+            kind = tuple(sorted(kind, reverse=True))
+            if kind not in seen:
+                seen.add(kind)
+                new.append(kind)
+        if not new:
+            break
+        kinds += new
+    return kinds
+
+
+def plan_packs(histogram: dict[int, int], size: int = SIZE, grid: int = 512, depth: int = 4) -> list[tuple[tuple[int, ...], int]]:
+    """Sequence contents (lengths in order) and how often each is used; every length is used as often as counted.
+
+    Of the plans by patterns of up to two and of up to `depth` lengths, the one with fewer sequences.
+    """
+    share = np.zeros(grid + 1)
+    for n, c in histogram.items():
+        if n < size:
+            share[int(np.ceil(n * grid / size))] += c
+    share /= max(share.sum(), 1)
+    plans = [_plan(histogram, size, grid, kinds) for kinds in (patterns(grid, min(2, depth)), generate_patterns(share, depth))]
+    return min(plans, key=lambda packs: sum(c for _, c in packs))
+
+
+def _plan(histogram: dict[int, int], size: int, grid: int, kinds: list[tuple[int, ...]]) -> list[tuple[tuple[int, ...], int]]:
     left = defaultdict(int, {n: c for n, c in histogram.items() if c})
     packs: list[tuple[list[int], int]] = []
     if left.get(size):
@@ -95,12 +159,8 @@ def plan_packs(histogram: dict[int, int], size: int = SIZE, grid: int = 512, dep
     for n, c in left.items():
         cells[int(np.ceil(n / unit))][n] += c
     counts = np.array([sum(c.values()) for c in cells], float)
-    if counts.sum() > 0:
-        kinds = patterns(grid, depth)
-        a = np.zeros((grid + 1, len(kinds)))
-        for j, kind in enumerate(kinds):
-            for n in kind:
-                a[n, j] += 1
+    if counts.sum() > 0 and kinds:
+        a = _matrix(kinds, grid)
         scale = counts.sum()
         repeats = np.floor(nnls(a, counts / scale) * scale).astype(int)
         for j in np.argsort(-repeats, kind="stable"):

@@ -127,6 +127,18 @@ def test_plan_uses_every_length():
     assert packing.plan_packs({}) == []
 
 
+@pytest.mark.parametrize("lengths", [{704: 6000, 672: 12000}, {804: 6000, 612: 12000}, {900: 6000, 600: 6000, 540: 6000}, {800: 6000, 500: 6000, 420: 6000, 320: 6000}])
+def test_plan_fills_sequences_with_three_and_four(lengths):
+    packs = packing.plan_packs(lengths)
+    used = Counter()
+    for p, c in packs:
+        assert sum(p) <= 2048
+        for n in p:
+            used[n] += c
+    assert used == lengths
+    assert sum(c for _, c in packs) <= 6000 * 1.01
+
+
 def brute_components(texts, k, percent):
     words = [re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode())) for t in texts]
     sets = [set(zip(*(w[i:] for i in range(k)), strict=False)) if len(w) >= k else {tuple(w)} if w else set() for w in words]
