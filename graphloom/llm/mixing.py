@@ -89,16 +89,17 @@ def probabilities(tokens: np.ndarray, share: np.ndarray, budget: float) -> np.nd
     return np.minimum(1, np.where(need > 0, 1.0, 0.0)) if c * need[need > 0].min(initial=np.inf) > 1 else np.minimum(1, c * need)
 
 
-def _rake_frames(cells: DataFrame, powers: dict[str, float], given: dict[str, dict[str, float]], budget_share: float, sweeps: int) -> DataFrame:
+def _rake_frames(cells: DataFrame, powers: dict[str, float], given: dict[str, dict[str, float]], budget_share: float, sweeps: int = 200, close: float = 1e-9) -> DataFrame:
     """rake() and probabilities() for very many cells, in joins and sums."""
-    cells = cells.withColumn("x", F.col("tokens") / F.sum("tokens").over(_all()))
+    all_tokens = cells.agg(F.sum("tokens")).first()[0] or 0
+    cells = cells.withColumn("x", F.col("tokens") / F.lit(float(max(all_tokens, 1))))
     goals = {}
     for a in AXES:
         m = cells.groupBy(a).agg(F.sum("x").alias("have"))
-        raw = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for kv in given[a].items() for v in kv]), F.col(a)), F.lit(0.0)) if given.get(a) else F.when(F.col("have") > 0, F.pow("have", F.lit(powers[a]))).otherwise(0.0)
+        raw = F.greatest(F.lit(0.0), F.coalesce(F.element_at(F.create_map(*[v for k, w in given[a].items() for v in (F.lit(k), F.lit(float(w)))]), F.col(a)), F.lit(0.0))) if given.get(a) else F.when(F.col("have") > 0, F.pow("have", F.lit(powers[a]))).otherwise(0.0)
         m = m.withColumn("raw", raw)
-        total = m.agg(F.sum("raw")).first()[0] or 1.0
-        goals[a] = materialize(m.select(a, (F.col("raw") / total).alias("want")), "goals")
+        total = m.agg(F.sum("raw")).first()[0] or 0.0
+        goals[a] = materialize(m.select(a, (F.col("raw") / total if total else F.col("have")).alias("want")), "goals")
     for _ in range(sweeps):
         worst = 0.0
         for a in AXES:
@@ -106,10 +107,9 @@ def _rake_frames(cells: DataFrame, powers: dict[str, float], given: dict[str, di
             worst = max(worst, m.agg(F.max(F.abs(F.col("have") - F.col("want")))).first()[0] or 0.0)
             cells = cells.join(m, a).withColumn("x", F.when(F.col("have") > 0, F.col("x") * F.col("want") / F.col("have")).otherwise(0.0)).drop("have", "want")
         cells = materialize(cells, "cells")
-        if worst < 1e-6:
+        if worst < close:
             break
-    total = cells.agg(F.sum("tokens")).first()[0] or 0
-    budget, low, high = budget_share * total, 0.0, 1e18
+    budget, low, high = budget_share * all_tokens, 0.0, 1e18
     need = F.when(F.col("tokens") > 0, F.col("x") / F.col("tokens")).otherwise(0.0)
     for _ in range(90):  # the expected tokens grow with c
         c = (low * high) ** 0.5 if low > 0 else high / 1e3
@@ -120,12 +120,6 @@ def _rake_frames(cells: DataFrame, powers: dict[str, float], given: dict[str, di
     return cells.withColumn("probability", F.least(F.lit(1.0), need * high))
 
 
-def _all():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(1))
-
-
 def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, float] | None = None, given: dict[str, dict[str, float]] | None = None, seed: int = 17, most_cells: int = 200_000, id_col: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """docs' columns (or `keep` of them, the id among them) and __source, __lang, __topic, __tokens, __probability, __sampled.
 
@@ -157,7 +151,7 @@ def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, fl
         fitted = docs.sparkSession.createDataFrame(table, "__source string, __lang string, __topic string, __probability double")
         fitted = F.broadcast(fitted) if len(table) <= most_cells else fitted
     else:
-        fitted = _rake_frames(cells, powers, given, budget_share, 50).select(*[F.col(a).alias(f"__{a}") for a in AXES], F.col("probability").alias("__probability"))
+        fitted = _rake_frames(cells, powers, given, budget_share).select(*[F.col(a).alias(f"__{a}") for a in AXES], F.col("probability").alias("__probability"))
     own = list(dict.fromkeys([*keep, "__source", "__lang"]))
     rows = described(named.select(*dict.fromkeys([*own, "text"])), own).join(fitted, ["__source", "__lang", "__topic"])
     draw = F.pmod(F.xxhash64(F.col(id_col), F.col("__crc"), F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)

@@ -223,6 +223,16 @@ def test_mixing(docs, none):
     assert mixing.mix_documents(docs).columns == docs.columns
 
 
+def test_mixing_is_the_same_for_many_cells(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, "w " * int(rng.integers(1, 40)), f"s{i % 4}", f"l{rng.integers(0, 3)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").coalesce(1)
+    for given in ({"source": {"nowhere": 1.0}}, {"source": {"s0": 5, "s1": 1, "s2": -1, "s3": 2}}):
+        few, many = ({r["doc_id"]: r["__probability"] for r in mixing.mix_weights(df, 0.3, given=given, most_cells=n).collect()} for n in (200_000, 0))
+        assert len(few) == 200 and max(few.values()) > 0
+        assert all(abs(p - many[i]) < 1e-6 for i, p in few.items())
+
+
 def test_mixing_describes_whole_texts(spark):
     texts = ["", None, " \t\n", "a b\x0bc\rd  e", "é ü\xa0ñ 1", "12 34", "w " * 99, "w " * 100, "w " * 1000, "x licensed under y " * 300, "٣ ٤ ٥"]
 
