@@ -15,7 +15,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-from .textkit import span_hashes
+from .textkit import place_table, span_hashes
 
 TOKENIZER = "byte_bpe_50k.json"
 LETTER, NUMBER, BLANK, OTHER = 1, 2, 3, 4
@@ -162,7 +162,7 @@ def _point_hashes(points: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarra
 
 @lru_cache(1)
 def _point_table() -> np.ndarray:
-    return np.random.Generator(np.random.PCG64(977)).integers(1, 1 << 63, _LATIN, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    return place_table(_LATIN, 977)
 
 
 def text_ids(batch: pa.RecordBatch, name: str, enc: BatchEncoder, end: int | None) -> tuple[np.ndarray, np.ndarray]:

@@ -1,7 +1,8 @@
 """Vectorised text work on Arrow batches: whole texts as one byte array, no Python string per row.
 
-Hashes are 64-bit polynomials over random byte values, modulo 2**64, with a final mix.  All constants come from
-fixed seeds, so each worker and each retry of a task gets the same values.
+A span's hash adds up one random 64-bit number for each (place in the span, byte), so that no pair of spans collides
+by structure, and mixes the sum.  All constants come from fixed seeds, so each worker and each retry of a task gets the
+same values.
 """
 
 from __future__ import annotations
@@ -12,29 +13,22 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_MUL = 0x9E3779B97F4A7C15 | 1
-_INV = pow(_MUL, -1, 1 << 64)
-_rng = np.random.Generator(np.random.PCG64(20240611))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+PLACES = 64  # places in a span with random numbers of their own; later ones mix theirs with the number of the round
+
+
+def place_table(symbols: int, seed: int) -> np.ndarray:
+    """A random number for each place and symbol."""
+    return np.random.Generator(np.random.PCG64(seed)).integers(0, 1 << 64, (PLACES, symbols), dtype=np.uint64)
+
+
+_BYTE = place_table(256, 20240611)
 BYTE_LOWER = _BYTE.copy()
-BYTE_LOWER[65:91] = _BYTE[97:123]
+BYTE_LOWER[:, 65:91] = _BYTE[:, 97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 #: Everything in ASCII but letters and digits separates; bytes of other characters belong to words.
 PUNCT = np.ones(256, bool)
 PUNCT[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
-_powers: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """_MUL**i and its inverse's powers, for i < n."""
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_MUL, _INV)):
-                out = np.full(n, U64(base), U64)
-                out[0] = 1
-                _powers[k] = np.cumprod(out, dtype=U64)
-    return _powers[0], _powers[1]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -87,16 +81,23 @@ def word_spans(data: np.ndarray, off: np.ndarray, separators: np.ndarray = SPACE
 
 
 def span_hashes(data: np.ndarray, s: np.ndarray, e: np.ndarray, table: np.ndarray = BYTE_LOWER) -> np.ndarray:
-    """A 64-bit hash of each span of bytes (A-Z as a-z with the default table)."""
+    """A 64-bit hash of each span (A-Z as a-z with the default table).  Spans begin in rising order and don't overlap."""
     if not len(s):
         return np.zeros(0, U64)
-    up, down = powers(len(data) + 1)
-    sums = np.empty(len(data) + 1, U64)
-    sums[0] = 0
+    size = e - s
+    if len(s) > 1 and size.sum() > 1 << 22:  # a part at a time, so that a very long text takes no more memory
+        half = len(s) // 2
+        return np.concatenate([span_hashes(data, s[:half], e[:half], table), span_hashes(data, s[half:], e[half:], table)])
+    before = np.cumsum(size) - size
+    place = np.arange(int(size.sum())) - np.repeat(before, size)
+    own = data[place + np.repeat(s, size)]
+    value = table.ravel()[(place & (PLACES - 1)) * table.shape[1] + own]
+    late = np.flatnonzero(place >= PLACES)
     with np.errstate(over="ignore"):
-        np.cumsum(table[data] * up[: len(data)], out=sums[1:])
-        h = (sums[e] - sums[s]) * down[s]
-        return mix(h + (e - s).astype(U64) * U64(0xD6E8FEB86659FD93))
+        if len(late):
+            value[late] = mix(value[late] + (place[late] // PLACES).astype(U64) * U64(0x9E3779B97F4A7C15))
+        sums = np.concatenate([np.zeros(1, U64), np.cumsum(value, dtype=U64)])
+        return mix(sums[before + size] - sums[before] + size.astype(U64) * U64(0xD6E8FEB86659FD93))
 
 
 def rows_of(offsets: np.ndarray) -> np.ndarray:
