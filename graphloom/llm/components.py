@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize
+from .shared import lean, materialize, split_join
 
 
 def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,16 +46,17 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     Self links and repeated links change nothing; no edges give no rows.  Each round works on joins and grouped
     minima alone, so a node with very many neighbours is no list in one task.
     """
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(_forest, "a long, b long"), "forest")
-    state = None
+    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(lean(_forest), "a long, b long"), "forest")
+    state, total = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("c"))
+        large = split_join(both, least, ["a"], "c", 2 * total).where("b > a and b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         now = materialize(small, "stars")
         seen = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first())
+        total = seen[0]
         if seen == state:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
         state = seen

@@ -6,8 +6,8 @@ as soon as every place has a value below the next rank, which can't improve any
 or two, and no result differs from the full walk.
 
 Documents with one and the same shingle set are one class, and only classes are linked.  Classes that share a band are
-compared on full sets, a bucket at a time, large buckets in blocks; a task returns a spanning forest of its links, not
-its pairs.
+compared on full sets, a bucket at a time, large buckets in blocks of so many sets and shingles.  In a task a set that is
+already linked to another is not compared again with what it has led to, and a forest of links is returned, not pairs.
 """
 
 from __future__ import annotations
@@ -19,12 +19,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components, union_find
-from .shared import materialize, parts, ship
+from .components import connected_components
+from .shared import lean, materialize, parts, ship, split_join, without
 from .textkit import U64, column, mix, signed, slices, span_hashes, word_spans
 
 BANDS, ROWS = 20, 4  # a pair of similarity 0.85 shares no band in 4 of 10**7 cases, of 0.8 in 3 of 10**5
-BLOCK = 1024  # members of a bucket that are compared with each other in one task
+BLOCK = 1024  # members of a block of a bucket; a task compares two blocks
+WEIGHT = 1 << 19  # shingles of a block, one member at least
 _rng = np.random.Generator(np.random.PCG64(5551212))
 _ORDER = _rng.integers(1, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 
@@ -111,106 +112,123 @@ def sketches(docs: DataFrame, k: int, bands: int = BANDS, rows: int = ROWS) -> D
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))]).astype(np.int32)), pa.array(keys[n > 0].ravel()))
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n), pa.array(d1), pa.array(d2), lists], names=["doc_id", "n", "d1", "d2", "bands"])
 
-    return docs.mapInArrow(run, "doc_id long, n long, d1 long, d2 long, bands array<long>")
+    return docs.mapInArrow(lean(run), "doc_id long, n long, d1 long, d2 long, bands array<long>")
 
 
 def _linked(sets: list[np.ndarray], ids: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of all links (100 * intersection >= percent * union) within a few sets."""
+    """A forest of all links (100 * intersection >= percent * union) within a few sets.
+
+    From each set the search goes on to the sets that it is linked with and that nothing has led to yet.  Only sets not
+    reached so far, of a size that can be linked, are looked at, by counting the shingles that carry a mark.
+    """
     size = np.array([len(x) for x in sets])
-    g = len(sets)
-    if g == 2:
-        a, b = sets
-        if 100 * min(size) < percent * max(size):
-            return ids[:0], ids[:0]
-        both = len(np.intersect1d(a, b, assume_unique=True))
-        return (ids[:1], ids[1:]) if 100 * both >= percent * (len(a) + len(b) - both) else (ids[:0], ids[:0])
-    every = np.concatenate(sets)
-    owner = np.repeat(np.arange(g), size)
-    order = np.argsort(every, kind="stable")
-    every, owner = every[order], owner[order]
-    fresh = np.concatenate([[True], every[1:] != every[:-1]])
-    code = np.cumsum(fresh) - 1
-    shared = np.bincount(code)[code] > 1  # a shingle of one set alone is in no intersection
-    code = np.unique(code[shared], return_inverse=True)[1]
-    owner = owner[shared]
-    inter = np.zeros((g, g), np.float32)
-    for c in range(0, int(code.max(initial=-1)) + 1, 4096):
-        own = slice(*np.searchsorted(code, [c, c + 4096]))
-        x = np.zeros((g, 4096), np.float32)
-        x[owner[own], code[own] - c] = 1
-        inter += x @ x.T
-    inter = inter.astype(np.int64)
-    i, j = np.nonzero(100 * inter >= percent * (size[:, None] + size[None, :] - inter))
-    less = i < j
-    return union_find(ids[i[less]], ids[j[less]])
-
-
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
+    order = np.argsort(size, kind="stable")
+    size, ids = size[order], ids[order]
+    codes = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)[1].astype(np.int32)
+    at = np.concatenate([[0], np.cumsum(size)])
+    mark = np.zeros(int(codes.max(initial=-1)) + 1, bool)
+    pool, pool_codes, pool_at = np.arange(len(size)), codes, at  # the sets not reached when it was last made
+    left = np.ones(len(size), bool)
+    a, b = [], []
+    for start in range(len(size)):
+        if not left[start]:
+            continue
+        left[start] = False
+        todo = [start]
+        while todo:
+            x = todo.pop()
+            if 2 * left.sum() < len(pool):
+                pool = pool[left[pool]]
+                pool_codes = np.concatenate([codes[at[i] : at[i + 1]] for i in pool]) if len(pool) else codes[:0]
+                pool_at = np.concatenate([[0], np.cumsum(size[pool])])
+            own = size[pool]
+            lo, hi = np.searchsorted(100 * own, percent * size[x]), np.searchsorted(percent * own, 100 * size[x], "right")
+            if lo >= hi or not left[pool[lo:hi]].any():
+                continue
+            mark[codes[at[x] : at[x + 1]]] = True
+            both = np.add.reduceat(mark[pool_codes[pool_at[lo] : pool_at[hi]]], pool_at[lo:hi] - pool_at[lo], dtype=np.int64)
+            mark[codes[at[x] : at[x + 1]]] = False
+            found = pool[lo:hi][(100 * both >= percent * (size[x] + own[lo:hi] - both)) & left[pool[lo:hi]]]
+            left[found] = False
+            todo += found.tolist()
+            a.append(np.full(len(found), ids[x]))
+            b.append(ids[found])
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *a]), np.concatenate([none, *b])
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, weight: int = WEIGHT, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """One row per input row: doc_id, n_shingles, component_id, kept.
 
     Two texts are linked if 100 * intersection >= percent * union of their sets of k-word shingles (A-Z as a-z, words
     between ASCII white space).  component_id is the smallest id reachable over links; kept: it is the row's own.
     A null text is empty; a text without words is linked with nothing and kept.  Repeated rows (one id, one text)
-    come out repeated.  An empty table gives no rows; other columns are ignored.
+    come out repeated; an id with several texts has the links of all of them.  A null id is in its text's component,
+    and has none if no other row has that text's shingles.  An empty table gives no rows; other columns are ignored.
     """
     text = F.col(text) if isinstance(text, str) else text
     docs = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     sketch = materialize(sketches(docs, k, bands, rows), "sketches")
+    total = sketch.count()
     some = sketch.where("n > 0")
-    classes = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    joined = some.join(classes, ["d1", "d2", "n"])
-    members = materialize(joined.select("doc_id", "n", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")), "members")
-    reps = members.where("bands is not null").select("rep", "bands").dropDuplicates(["rep"])
-    banded = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.min("rep").alias("lo"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("c > 1")
-    buckets = buckets.groupBy("c", "lo", "x", "y").agg(F.min("key").alias("key"))  # the same members in several bands: one bucket
-    in_bucket = materialize(banded.join(buckets.select("key", "c"), "key"), "buckets")
+    grouped = some.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min_by("bands", "doc_id").alias("bands"))
+    classes = materialize(grouped, "classes")
+    banded = classes.where("rep is not null").select("rep", "d1", "n", F.explode("bands").alias("key"))
+    one = F.xxhash64("rep", "d1")
+    buckets = banded.groupBy("key").agg(F.count("*").alias("c"), F.sum("n").alias("w"), F.bit_xor(one).alias("x"), F.bit_xor(F.xxhash64("rep", "d1", F.lit(1))).alias("y")).where("c > 1")
+    buckets = buckets.groupBy("c", "w", "x", "y").agg(F.min("key").alias("key")).select("key", "c", "w")  # the same members in several bands: one bucket
+    in_bucket = materialize(split_join(banded.select("rep", "d1", "key"), buckets, ["key"], "c", total), "buckets")
 
     def full(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, off in slices(batches, "text"):
             h, at = shingle_sets(data, off, k)
+            with np.errstate(over="ignore"):
+                d = np.concatenate([[U64(0)], np.cumsum(mix(h ^ _ORDER[-2]), dtype=U64)])
+                d1 = signed(d[at[1:]] - d[at[:-1]])
             raw = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at * 8), pa.py_buffer(h)])
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), raw.cast(pa.binary())], names=["rep", "set"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(d1), raw.cast(pa.binary())], names=["rep", "d1", "set"])
 
-    wanted = in_bucket.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(wanted.hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(full, "rep long, set binary").dropDuplicates(["rep"])
-    blocks = F.ceil(F.col("c") / block).cast("int")
-    own = F.pmod(F.xxhash64("rep", "key"), blocks).cast("int")
+    wanted = materialize(in_bucket.select("rep").distinct(), "wanted")
+    sets = without(docs, wanted, F.col("doc_id"), how="left_semi").mapInArrow(lean(full), "rep long, d1 long, set binary").dropDuplicates(["rep", "d1"])
+    blocks = F.ceil(F.greatest(F.col("c") / block, F.col("w") / weight)).cast("int")
+    own = F.pmod(F.xxhash64("rep", "d1", "key"), blocks).cast("int")
     tasks = in_bucket.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    tasks = tasks.select("rep", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
+    tasks = tasks.select("rep", "d1", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, ids, held = None, [], []
 
-        def done() -> pa.RecordBatch | None:
+        def done() -> Iterator[pa.RecordBatch]:
             if len(ids) > 1:
                 a, b = _linked(held, np.array(ids, np.int64), percent)
                 if len(a):
-                    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-            return None
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             for t, rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if t != task:
-                    if (out := done()) is not None:
-                        yield out
+                    yield from done()
                     task, ids, held = t, [], []
                 ids.append(rep)
                 held.append(np.frombuffer(raw.as_buffer(), U64))
-        if (out := done()) is not None:
-            yield out
+        yield from done()
 
-    links = tasks.join(sets, "rep").select("task", "rep", "set").repartition(parts(docs) * 2, "task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long")
+    links = tasks.join(sets, ["rep", "d1"]).select("task", "rep", "set").repartition(parts(docs) * 2, "task").sortWithinPartitions("task").mapInArrow(lean(compare), "a long, b long")
     roots = connected_components(links)
-    found = members.select("doc_id", "n", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", "n", F.coalesce("root", "rep").alias("component_id"))
+    rooted = classes.select("d1", "d2", "n", "copies", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", "n", "copies", F.coalesce("root", "rep").alias("component_id"))
+    found = split_join(some.select("doc_id", "d1", "d2", "n"), materialize(rooted, "rooted"), ["d1", "d2", "n"], "copies", total).select("doc_id", "n", "component_id")
     empty = sketch.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return found.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """The rows of docs that stay, with docs' columns: one document of each group."""
-    kept = near_duplicates(docs, id_col=id_col, **how).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """The rows of docs that stay, with docs' columns: one document of each group.
+
+    Rows are known by their id, of which all rows stay or go.  A null text, one without words and a row with a null id
+    stay.  An empty table gives no rows; columns of any name pass through.
+    """
+    near = near_duplicates(docs, id_col=id_col, **how)
+    return without(docs, materialize(near.where("not kept and doc_id is not null").select("doc_id").distinct(), "gone"), F.col(id_col).cast("long"))
 
 
 __all__ = ["drop_near_duplicates", "near_duplicates", "shingle_sets", "superminhash"]
