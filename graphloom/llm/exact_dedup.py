@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import fresh, lean, materialize, ship, without
 
 
 def misra_gries(counts: dict[bytes, int], digests: np.ndarray, counters: int) -> None:
@@ -48,7 +48,7 @@ def heavy_digests(digests: DataFrame, counters: int = 1024) -> DataFrame:
 
     total = digests.count()
     least = max(2, int(total * (2 / counters - 1 / (counters + 1))))
-    candidates = digests.select("digest").mapInArrow(summarise, "digest string, low long").groupBy("digest").agg(F.sum("low").alias("low")).where(F.col("low") >= least).select("digest")
+    candidates = digests.select("digest").mapInArrow(lean(summarise), "digest string, low long").groupBy("digest").agg(F.sum("low").alias("low")).where(F.col("low") >= least).select("digest")
     return digests.join(F.broadcast(candidates), "digest").groupBy("digest").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
 
 
@@ -74,6 +74,19 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: Column | str
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
-    """The rows of docs that stay, with docs' columns (ids are unique; all rows of a kept id stay)."""
-    kept = exact_duplicates(docs, id_col, text).where("kept").select(F.col("doc_id").alias("__kept_id")).distinct()
-    return docs.join(kept.hint("shuffle_hash"), docs[id_col].eqNullSafe(F.col("__kept_id")), "left_semi")
+    """One row of docs for each text, with docs' columns: of the rows with the largest id the first in no set order.
+
+    Null texts are empty ones and so one group.  Rows of one id are judged each by its text.  An empty table gives no
+    rows; columns of any name pass through.  Only rows that are there several times with one id and text are shuffled.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    found = materialize(exact_duplicates(docs, id_col, text), "exact")
+    digest = fresh("__digest", docs)
+    own = docs.withColumn(digest, F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256))
+    keys = (F.col(id_col).cast("long"), F.col(digest))
+    gone = materialize(found.where("not kept").select("doc_id", "text_sha256").distinct(), "gone")
+    again = materialize(found.where("kept").groupBy("doc_id", "text_sha256").count().where("count > 1").select("doc_id", "text_sha256"), "again")
+    kept = without(own, gone, *keys)
+    if not again.isEmpty():
+        kept = without(kept, again, *keys).unionByName(without(kept, again, *keys, how="left_semi").dropDuplicates([digest]))
+    return kept.drop(digest)
