@@ -16,10 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import lean, materialize, ship
 from .textkit import column
 
 PIVOTS, RINGS, SAMPLE, BLOCK = 32, 8, 4096, 4096
+LARGEST = 2.0**400  # integers beyond have no squares to reckon with
+EXACT = 2.0**53
 
 
 def integer_vectors(vectors: pa.Array, dim: int, scale: float) -> tuple[np.ndarray, np.ndarray]:
@@ -32,11 +34,11 @@ def integer_vectors(vectors: pa.Array, dim: int, scale: float) -> tuple[np.ndarr
     ok = vectors.is_valid().to_numpy(zero_copy_only=False).copy()
     row = np.repeat(np.arange(n), np.diff(at))
     own = x[at[0] : at[-1]]
-    bad = ~np.isfinite(own)
+    bad = ~(np.abs(own) < LARGEST)
     ok[row[bad]] = False
     out = np.zeros((n, dim))
     out[row, np.arange(len(own)) - np.repeat(at[:-1] - at[0], np.diff(at))] = np.floor(scale * np.where(bad, 0, own))
-    return out, ok
+    return out, ok & (np.abs(out) < LARGEST).all(1)
 
 
 def _distances(v: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -69,8 +71,9 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
 
     The score is the inner product of floor(scale * x); ties go to the smaller vec_id.  queries and vectors have the
     columns `id_col` and `vector`.  Rows with a null id, null vectors and vectors with null or non-finite components
-    take no part; shorter vectors count as ending in zeros.  Scores are exact below 2**53.  Repeated rows (one id, one
-    vector) count once.  Empty tables give no rows.
+    (or one beyond 2**400) take no part; shorter vectors count as ending in zeros.  Scores are exact; one beyond 64 bits
+    counts as the largest or smallest long.  Repeated rows (one id, one vector) count once.  Empty
+    tables give no rows; other columns are ignored.
     """
     vector = F.col(vector) if isinstance(vector, str) else vector
     columns = [F.col(id_col).cast("long").alias("vec_id"), vector.cast("array<double>").alias("v")]
@@ -85,7 +88,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
             if ok.any():
                 yield pa.RecordBatch.from_arrays([pa.array([float((v[ok] ** 2).sum(1).max())])], names=["m"])
 
-    largest = vectors.mapInArrow(norms, "m double").agg(F.max("m")).first()[0]
+    largest = vectors.mapInArrow(lean(norms), "m double").agg(F.max("m")).first()[0]
     schema = "query_id long, rank int, vec_id long, score long"
     if largest is None:
         return vectors.sparkSession.createDataFrame([], schema)
@@ -93,6 +96,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
     sample, ok = integer_vectors(drawn.column("v").combine_chunks(), dim, scale)
     sample = sample[ok] if ok.any() else np.zeros((1, dim))
     pivots = choose_pivots(np.concatenate([sample, np.sqrt(np.maximum(largest - (sample**2).sum(1), 0))[:, None]], 1), PIVOTS)
+    close = largest < EXACT  # else distances are too coarse to rule anything out, and scores are reckoned in Python's integers
+    slack = 1e-6 * (1 + math.sqrt(largest))
     width = max(1e-9, 4 * math.sqrt(largest) / 1024)
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +109,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
             own = d[np.arange(len(d)), near]
             yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(near.astype(np.int32)), pa.array((own / width).astype(np.int32)), pa.array([x.tobytes() for x in v], pa.binary())], names=["vec_id", "pivot", "bin", "v"])
 
-    index = materialize(vectors.mapInArrow(key, "vec_id long, pivot int, bin int, v binary").dropDuplicates(["vec_id"]), "index")
+    index = materialize(vectors.mapInArrow(lean(key), "vec_id long, pivot int, bin int, v binary").dropDuplicates(["vec_id"]), "index")
     bins = sorted((r["pivot"], r["bin"], r["count"]) for r in index.groupBy("pivot", "bin").count().collect())  # PIVOTS * 1024 at most
     sizes = {p: sum(n for q, _, n in bins if q == p) for p in {b[0] for b in bins}}
     cells: list[list] = []  # pivot, first bin, last bin, vectors
@@ -113,7 +118,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
             cells.append([p, b, b, 0])
         cells[-1][2], cells[-1][3] = b, cells[-1][3] + n
     cell_pivot, cell_first, cell_last, cell_n = np.array(cells, np.int64).T
-    low, high = cell_first * width * (1 - 1e-9) - 1e-6, (cell_last + 1) * width * (1 + 1e-9) + 1e-6
+    low, high = cell_first * width - slack, (cell_last + 1) * width + slack
     subs = np.maximum(1, -(-cell_n // BLOCK))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,14 +129,14 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
             sub = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % subs[cell]
             yield pa.RecordBatch.from_arrays([pa.array((cell << 32 | sub)), column(b, "vec_id"), column(b, "v")], names=["block", "vec_id", "v"])
 
-    blocks = index.mapInArrow(place, "block long, vec_id long, v binary")
+    blocks = index.mapInArrow(lean(place), "block long, vec_id long, v binary")
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, ok = integer_vectors(column(b, "v"), dim, scale)
             yield pa.RecordBatch.from_arrays([pa.array(column(b, "vec_id").to_numpy()[ok]), pa.array([x.tobytes() for x in v[ok]], pa.binary())], names=["query_id", "q"])
 
-    asked = materialize(queries.mapInArrow(numbers, "query_id long, q binary").dropDuplicates(["query_id"]), "queries")
+    asked = materialize(queries.mapInArrow(lean(numbers), "query_id long, q binary").dropDuplicates(["query_id"]), "queries")
     groups = max(1, -(-asked.count() // BLOCK))
 
     def bounds(q: np.ndarray) -> np.ndarray:
@@ -153,7 +158,7 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
                 else:
                     reach = column(b, "kth").to_numpy(zero_copy_only=False).astype(float)
                     reach = np.where(np.isnan(reach), np.inf, np.sqrt(np.maximum((q * q).sum(1) + largest - 2 * np.nan_to_num(reach), 0)))
-                    row, cell = np.nonzero(least <= reach[:, None] * (1 + 1e-9) + 1e-6)
+                    row, cell = np.nonzero((least <= reach[:, None] + slack) | (not close))
                     times = subs[cell]
                     sub = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
                     row, cell = np.repeat(row, times), np.repeat(cell, times)
@@ -167,10 +172,15 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
             q = np.frombuffer(b"".join(left.column("q").to_pylist()), np.float64).reshape(-1, dim)
             v = np.frombuffer(b"".join(right.column("v").to_pylist()), np.float64).reshape(-1, dim)
             ids = right.column("vec_id").to_numpy()
+            if not close:
+                q, v = (np.array([[int(x) for x in r] for r in m], dtype=object).reshape(-1, dim) for m in (q, v))
             for i, query in enumerate(left.column("query_id").to_pylist()):
-                score = v @ q[i]
-                score[ids == query] = -np.inf
-                out += [(query, int(ids[j]), int(score[j])) for j in best(score, ids, k) if ids[j] != query]
+                other = np.flatnonzero(ids != query)
+                score = v[other] @ q[i]
+                if not close:
+                    score = np.array([min(max(x, -(1 << 63)), (1 << 63) - 1) for x in score], dtype=object)
+                top = best(score, ids[other], k) if close else sorted(range(len(other)), key=lambda j: (-score[j], ids[other[j]]))[:k]
+                out += [(query, int(ids[other[j]]), int(score[j])) for j in top]
         cols = list(zip(*out, strict=True)) if out else [[], [], []]
         return pa.table([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
 
@@ -179,8 +189,8 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: floa
         return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
     def search(asks: DataFrame, first: bool) -> DataFrame:
-        asks = asks.mapInArrow(visits(first), "block long, query_id long, q binary").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
-        parts = blocks.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        asks = asks.mapInArrow(lean(visits(first)), "block long, query_id long, q binary").withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(groups)))
+        parts = blocks.join(materialize(asks.select("block", "part").distinct(), "pairs"), "block")  # a block goes to the groups of queries that ask for it
         return top(asks.groupBy("block", "part").cogroup(parts.groupBy("block", "part")).applyInArrow(compare, "query_id long, vec_id long, score long"))
 
     kth = search(asked, True).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("kth"))
