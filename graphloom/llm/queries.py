@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctw, exact_dedup, langid, minhash, mixing, packing, tokencount, tokenout, topk, toxicity
-from .shared import fold_of
+from .shared import fold_of, shared_root
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -60,7 +61,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packed_matrices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenout.digests(tokenout.packed_matrices(_read(spark, sf_dir, "documents")))
+    path = f"{shared_root(spark)}/matrices-{uuid.uuid4().hex[:12]}"
+    tokenout.write_matrices(tokenout.packed_matrices(_read(spark, sf_dir, "documents")), path)
+    return tokenout.digests(spark.read.parquet(path))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -11,10 +11,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import lean, materialize, ship
 from .textkit import column, slices
 
 END = 50256
@@ -34,15 +34,15 @@ def token_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END,
         from .bpe import BatchEncoder
 
         enc, shard, number = BatchEncoder(tokenizer), TaskContext.get().partitionId(), 0
-        held, names = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        held, names = np.zeros(0, np.uint32), []
 
-        def row(part: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+        def row(part: np.ndarray, own: list) -> pa.RecordBatch:
             wide = "<u2" if enc.enc.max_token_value < 1 << 16 and end < 1 << 16 else "<u4"
-            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([part.astype(wide).tobytes()], pa.binary()), pa.array([own.tolist()], pa.list_(pa.int64())), pa.array([np.dtype(wide).itemsize], pa.int32())], names=["shard", "block", "data", "ids", "width"])
+            return pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([number]), pa.array([part.astype(wide).tobytes()], pa.binary()), pa.array([own], pa.list_(pa.int64())), pa.array([np.dtype(wide).itemsize], pa.int32())], names=["shard", "block", "data", "ids", "width"])
 
         for batch, data, off in slices(batches, "text"):
             ids, _ = enc.encode(data, off, end)
-            held, names = np.concatenate([held, ids]), np.concatenate([names, column(batch, "doc_id").to_numpy(zero_copy_only=False)])
+            held, names = np.concatenate([held, ids]), names + column(batch, "doc_id").to_pylist()
             while len(held) >= block:
                 n = int((held[:block] == end).sum())
                 yield row(held[:block], names[:n])
@@ -50,20 +50,33 @@ def token_blocks(docs: DataFrame, tokenizer: str | None = None, end: int = END,
         if len(held):
             yield row(held, names)
 
-    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "shard long, block long, data binary, ids array<long>, width int")
+    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), "shard long, block long, data binary, ids array<long>, width int")
 
 
-def file_blocks(df: DataFrame, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """Rows of `spark.read.format("binaryFile")` (path, content) as blocks: shard is the path."""
+def file_blocks(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
+    """The files of a path (a file, a folder or a pattern) as blocks: shard (the file's address), block, data, width.
+
+    Each row is read on its own as a range of bytes, so a file may have any size.  Bytes after the last whole id are left
+    out; a file without ids has no blocks.  Addresses must be of a kind that pyarrow reads.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [x for y in fs.globStatus(p) or [] for x in (fs.listStatus(y.getPath()) if y.isDirectory() else [y])]
+    files = [(x.getPath().toString(), x.getLen() // width) for x in found if x.isFile()]
+    rows = spark.createDataFrame(files, "shard string, ids long").where("ids > 0")
+    rows = rows.select("shard", "ids", F.explode(F.expr(f"sequence(0L, (ids - 1) div {block})")).alias("block"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow.fs import FileSystem
+
         for b in batches:
-            for path, content in zip(column(b, "path").to_pylist(), column(b, "content"), strict=True):
-                raw = memoryview(content.as_buffer())
-                for k, a in enumerate(range(0, len(raw) // width * width, block * width)):
-                    yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([k]), pa.array([bytes(raw[a : min(a + block * width, len(raw) // width * width)])], pa.binary()), pa.array([width], pa.int32())], names=["shard", "block", "data", "width"])
+            for shard, ids, k in zip(*(column(b, c).to_pylist() for c in ("shard", "ids", "block")), strict=True):
+                own, at = FileSystem.from_uri(shard)
+                with own.open_input_file(at) as f:
+                    data = f.read_at(min(block, ids - k * block) * width, k * block * width)
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([k]), pa.array([data], pa.binary()), pa.array([width], pa.int32())], names=["shard", "block", "data", "width"])
 
-    return ship(df).select("path", "content").mapInArrow(run, "shard string, block long, data binary, width int")
+    return ship(rows).repartition(max(1, min(1 << 16, sum(n for _, n in files) // block)), "shard", "block").mapInArrow(lean(run), "shard string, block long, data binary, width int")
 
 
 def separator_scan(blocks: DataFrame, end: int = END, block: int = BLOCK) -> DataFrame:
@@ -81,7 +94,7 @@ def separator_scan(blocks: DataFrame, end: int = END, block: int = BLOCK) -> Dat
                 yield pa.RecordBatch.from_arrays([column(b, "shard").slice(i, 1), pa.array([k]), pa.array([len(ids) + k * block]), pa.array([ends.tolist()], pa.list_(pa.int64()))], names=["shard", "block", "stop", "ends"])
 
     kind = dict(blocks.dtypes)["shard"]
-    found = materialize(ship(blocks).select("shard", "block", "data", "width").mapInArrow(run, f"shard {kind}, block long, stop long, ends array<long>"), "ends")
+    found = materialize(ship(blocks).select("shard", "block", "data", "width").mapInArrow(lean(run), f"shard {kind}, block long, stop long, ends array<long>"), "ends")
     size = F.size("ends")
     summary = found.select("shard", "block", "stop", size.alias("n"), F.when(size > 0, F.element_at("ends", -1)).alias("last"))
     earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -94,7 +107,11 @@ def separator_scan(blocks: DataFrame, end: int = END, block: int = BLOCK) -> Dat
 
 
 def document_token_counts(docs: DataFrame, **how) -> DataFrame:
-    """doc_id, n_tokens of each row of docs, by way of flat token files; null or empty texts have 0 tokens."""
+    """doc_id, n_tokens, shard, ordinal of each row of docs, by way of flat token files.
+
+    A null or empty text has 0 tokens.  Repeated rows are counted each on its own; a null id stays null.  An empty table
+    gives no rows; other columns are ignored.
+    """
     blocks = materialize(token_blocks(docs, **how), "tokens")
     scan = {k: v for k, v in how.items() if k in ("end", "block")}
     earlier = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)

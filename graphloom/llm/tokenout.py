@@ -1,7 +1,7 @@
 """Packed token-id matrices: best-fit-decreasing with a segment tree over room left.
 
 Each task packs what it reads, a few million ids at a time, so nothing is shuffled and no task holds more than that
-(one document at least).  A row is one line of the matrix: `size` ids (the rest is `pad`), cumulative segment lengths
+(one document at least).  Lines therefore depend on how the input is split, and each such pack may end in a part-filled line.  A row is one line of the matrix: `size` ids (the rest is `pad`), cumulative segment lengths
 and positions that start again at 0 in each segment.  Overlong documents are cut losslessly.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .packing import cut_points
-from .shared import ship
+from .shared import lean, ship
 from .textkit import column, slices
 
 SIZE, CHUNK = 2048, 4 << 20
@@ -117,7 +117,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, size: int = S
         if held:
             yield from flush()
 
-    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, SCHEMA)
+    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
 TYPES = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
