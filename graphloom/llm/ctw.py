@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import lean, materialize, ship
 from .textkit import SPACE, column, rows_of, signed, slices, span_hashes, word_spans
 
 DEPTH = 5
@@ -141,7 +141,7 @@ def corpus_counts(training: DataFrame, docs: DataFrame, depth: int = DEPTH) -> D
         return run
 
     schema = "kind int, key long, n long, m long"
-    rows = training.select("text").mapInArrow(counts(True), schema).unionByName(docs.select("text").mapInArrow(counts(False), schema))
+    rows = training.select("text").mapInArrow(lean(counts(True)), schema).unionByName(docs.select("text").mapInArrow(lean(counts(False)), schema))
     return rows.groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
 
 
@@ -299,7 +299,7 @@ def run_scores(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
             key, to = np.unique(_shorter(x.key, top), return_inverse=True)
             yield pa.RecordBatch.from_arrays([pa.array(key), *(pa.array(np.bincount(to, v, len(key))) for v in (x.zero, x.one, x.weighted))], names=["key", "zero", "one", "below"])
 
-    sums = dealt.mapInArrow(up, "key long, zero double, one double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "below")])
+    sums = dealt.mapInArrow(lean(up), "key long, zero double, one double, below double").groupBy("key").agg(*[F.sum(c).alias(c) for c in ("zero", "one", "below")])
     got = sums.orderBy("key").toArrow()  # 255 decisions of 65,536 contexts at most
     levels = [_level(*(got.column(c).to_numpy() for c in ("key", "zero", "one", "below")))]
     for d in range(top - 1, -1, -1):
@@ -316,7 +316,7 @@ def run_scores(runs: DataFrame, depth: int = DEPTH) -> DataFrame:
             score = np.log10(np.where(bit, p, 1 - p)).sum(0).astype(np.float32)
             yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), t.column("m").combine_chunks(), pa.array(score)], names=["key", "m", "score"])
 
-    return dealt.mapInArrow(down, "key long, m long, score float").where("m > 0")
+    return dealt.mapInArrow(lean(down), "key long, m long, score float").where("m > 0")
 
 
 class RunTable:
@@ -361,13 +361,13 @@ def _lists(row: np.ndarray, key: np.ndarray, n: int) -> tuple[pa.ListArray, pa.L
 def lm_scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score, code_bits_per_byte.
 
-    training: a column text; its tokens are counted in full.  A null or empty text is its end alone.  Without
+    training: the column `text` too; its tokens are counted in full.  A null or empty text is its end alone.  Without
     training rows nothing is known and each decision has probability 1/2.  Repeated rows are scored each on its own;
     an empty table gives no rows; other columns are ignored.
     """
     text = F.col(text) if isinstance(text, str) else text
     own = ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    counts = materialize(corpus_counts(training, own, depth), "counts")
+    counts = materialize(corpus_counts(training.select(text.alias("text")), own, depth), "counts")
     words = counts.where("kind = 0").select(F.col("key").alias("word"), F.col("n").alias("c"))
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = words.where(F.col("c") >= max(1, -(-total // HEAD))).orderBy("word").toArrow()  # at most HEAD rows
@@ -404,7 +404,7 @@ def lm_scores(docs: DataFrame, training: DataFrame, depth: int = DEPTH, id_col:
             )
             number += n
 
-    rows = materialize(own.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, score double, bytes long, words array<long>, times array<int>, runs array<long>, run_times array<int>"), "scored")
+    rows = materialize(own.mapInArrow(lean(run), "row long, doc_id long, n_tokens long, known long, base double, score double, bytes long, words array<long>, times array<int>, runs array<long>, run_times array<int>"), "scored")
 
     def tail(keys: str, times: str) -> DataFrame:
         return rows.select("row", F.explode(F.arrays_zip(F.col(keys).alias("k"), F.col(times).alias("t"))).alias("x")).select("row", F.col("x.k").alias("key"), F.col("x.t").alias("times"))

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import lean, materialize, ship
 from .textkit import SPACE, column, slices, utf8
 
 BITS = 16
@@ -90,14 +90,14 @@ def _fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int,
 def train(docs: DataFrame, most: int = SAMPLE, dim: int = 16, epochs: int = 4, seed: int = 11) -> LanguageModel:
     """Learn from docs (text, lang); rows with null text or lang, or without a letter, are left out.
 
-    At most `most` rows of a language are read, chosen by a hash of the row; of a longer text the learning rows hold
-    subword shares of all of it.  With one language every text gets it; with none, every text is undetermined.
+    About `most` distinct texts of a language are learned from, chosen by a hash of the text, all if there are no more;
+    the learning rows hold the shares of all subwords of the whole text.  Repeated rows count once, an empty text or one
+    of less than three bytes isn't learned from, and other columns are ignored.  With one language every text gets it; with none, every text is undetermined.
     """
     rows = ship(docs).where("text is not null and lang is not null").select("text", "lang", F.xxhash64("text").alias("h"))
-    names = [r[0] for r in rows.groupBy("lang").count().orderBy("lang").collect()]  # languages, not rows
-    if not names:
+    total = {r[0]: r[1] for r in rows.select("lang", "h").distinct().groupBy("lang").count().collect()}  # languages, not rows
+    if not total:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
-    total = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
     rate = F.lit(0.0)
     for name, n in total.items():
         rate = F.when(F.col("lang") == name, F.lit(min(1.0, most / n))).otherwise(rate)
@@ -111,12 +111,11 @@ def train(docs: DataFrame, most: int = SAMPLE, dim: int = 16, epochs: int = 4, s
             for i, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)):
                 v, c = np.unique(bucket[a:b], return_counts=True)
                 if len(v) and letter[i]:
-                    top = np.argsort(-c, kind="stable")[:2048]  # a row's most frequent subwords stand for it in training
-                    out.append((i, v[top].astype("<u2").tobytes(), (c[top] / c[top].sum()).astype("<f4").tobytes()))
+                    out.append((i, v.astype("<u2").tobytes(), (c / c.sum()).astype("<f4").tobytes()))
             yield pa.RecordBatch.from_arrays([column(batch, "lang").take(pa.array([o[0] for o in out], pa.int64())), column(batch, "h").take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["lang", "h", "buckets", "shares"])
 
-    found = materialize(drawn.mapInArrow(run, "lang string, h long, buckets binary, shares binary").dropDuplicates(["h", "lang"]), "language_rows")
-    got = found.orderBy("h", "lang").limit(2 * most * len(names)).toArrow()
+    found = materialize(drawn.mapInArrow(lean(run), "lang string, h long, buckets binary, shares binary").dropDuplicates(["h", "lang"]), "language_rows")
+    got = found.orderBy("h", "lang").limit(2 * most * len(total)).toArrow()
     names = sorted(set(got.column("lang").to_pylist()))
     if not names:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
@@ -161,4 +160,4 @@ def predict_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_i
             best, score = np.where(letter, best, len(model.languages)), np.where(letter, score, 0.0)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(names[best], pa.string()), pa.array(score), pa.array(score < max(model.least, 1e-12))], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
+    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, ship
+from .shared import fresh, lean, materialize, ship
 from .textkit import column, slices, word_spans
 
 AXES = ("source", "lang", "topic")
@@ -46,7 +46,7 @@ def described(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame
             yield pa.RecordBatch.from_arrays([*[column(batch, c) for c in keep], pa.array(tokens.astype(np.int64)), pa.array(kinds[kind], pa.string()), pa.array(crc)], names=[*keep, "__tokens", "__topic", "__crc"])
 
     schema = T.StructType([*[rows.schema[c] for c in keep], T.StructField("__tokens", T.LongType()), T.StructField("__topic", T.StringType()), T.StructField("__crc", T.LongType())])
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(lean(run), schema)
 
 
 def _targets(shares: dict[str, float], power: float, given: dict[str, float] | None) -> dict[str, float]:
@@ -128,7 +128,7 @@ def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, fl
     probability of their cell, 0 if the cell has no tokens.  The draw is a hash of id, text and seed: repeated rows are
     drawn alike, and a retry draws the same.  An empty table gives no rows.  Columns of docs with the names of these are replaced.
     """
-    powers = {"source": 0.7, "lang": 0.7, "topic": 1.0} | (powers or {})
+    powers = {"source": 0.7, "lang": 0.7, "topic": 0.7} | (powers or {})
     given = given or {}
     name = lambda c: F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit(MISSING))
     docs = ship(docs).drop(*OWN)
@@ -159,5 +159,7 @@ def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, fl
 
 
 def mix_documents(docs: DataFrame, **how) -> DataFrame:
-    """The sampled rows, with docs' columns."""
-    return mix_weights(docs, **how).where("__sampled").select(*docs.columns)
+    """The sampled rows, with docs' columns, whatever their names.  What mix_weights says of odd rows holds."""
+    inner = {c: fresh(f"_{c}", docs) if c.lower() in OWN else c for c in docs.columns}
+    mixed = mix_weights(docs.withColumnsRenamed(inner), **how).where("__sampled")
+    return mixed.select(*[F.col(f"`{x}`").alias(c) for c, x in inner.items()])

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import materialize, parts, ship
+from .shared import lean, materialize, parts, ship
 from .textkit import column, slices
 
 SIZE = 2048
@@ -51,7 +51,7 @@ def document_pieces(docs: DataFrame, tokenizer: str | None = None, size: int = S
             cols = list(zip(*out, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, PIECES)
+    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), PIECES)
 
 
 def nnls(a: np.ndarray, b: np.ndarray, steps: int = 400) -> np.ndarray:
@@ -258,4 +258,4 @@ def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, size: int = SIZ
             yield pa.RecordBatch.from_arrays([*(column(b, n) for n in names), pa.array(seq), pa.array(table["offset"][k])], names=[*names, "sequence_id", "offset"])
 
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    return numbered.select(*columns, (F.col("number") - 1 + F.col("before")).alias("number")).mapInArrow(place, PIECES + ", sequence_id long, offset long")
+    return numbered.select(*columns, (F.col("number") - 1 + F.col("before")).alias("number")).mapInArrow(lean(place), PIECES + ", sequence_id long, offset long")

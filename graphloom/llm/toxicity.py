@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import materialize, ship
+from .shared import lean, materialize, ship
 from .textkit import PUNCT, column, rows_of, slices, span_hashes, word_spans
 
 BITS = 22
@@ -70,6 +70,7 @@ def term_counts(data: np.ndarray, off: np.ndarray, only: np.ndarray | None = Non
 def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[list[dict], dict[int, int]]:
     """Terms of at most `most` labelled rows of each class, and how many rows each class has."""
     known = labels.where(F.col(label).isin(0, 1)).select(F.col("doc_id"), F.col(label).cast("int").alias("y"))
+    docs = ship(docs).select("doc_id", "text")
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = None
     for y in (0, 1):
@@ -84,15 +85,18 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
             raw = lambda x, t, w: pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(at * w), pa.py_buffer(np.ascontiguousarray(x.astype(t)))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "y"), raw(bucket, "<i4", 4), raw(np.minimum(count, 255), "u1", 1)], names=["doc_id", "y", "terms", "counts"])
 
-    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, y int, terms binary, counts binary")  # 2 * most rows at most are broadcast
-    got = rows.dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()
+    rows = docs.join(F.broadcast(chosen), "doc_id").mapInArrow(lean(run), "doc_id long, y int, terms binary, counts binary")  # 2 * most rows at most are broadcast
+    one = rows.groupBy("doc_id").agg(F.min_by(F.struct("y", "terms", "counts"), "terms").alias("x"))
+    got = one.select("doc_id", "x.*").orderBy("doc_id").toArrow()
     return got, sizes
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, terms: int = 600, k: int = 8, epochs: int = 250, seed: int = 7) -> FactorizationMachine:
-    """Learn from docs (doc_id, text) and labels (doc_id, `label` 0 or 1; other values are left out).
+    """Learn from docs (doc_id, text; other columns are ignored) and labels (doc_id, `label` 0 or 1; others are left out).
 
-    Without rows of both classes every text scores the share of ones, or 0 without labelled rows.
+    Without rows of both classes every text scores the share of ones, or 0 without labelled rows.  A null id is no
+    labelled row; a null or empty text has no terms.  An id with both labels has label 1; of an id's several texts one
+    is learned from, the same in every run.  At most `most` labelled rows of a class are learned from, whole texts each.
     """
     got, sizes = _sample(docs, labels, label, most)
     y = got.column("y").to_numpy().astype(np.float64)
@@ -164,11 +168,15 @@ def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str =
             score = model.scores(row, np.searchsorted(model.terms, bucket), count, batch.num_rows)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
-    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(run, "doc_id long, score double, predicted int")
+    return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), "doc_id long, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that aren't predicted toxic, with docs' columns, in one pass."""
+    """The rows of docs that aren't predicted toxic, with docs' columns, in one pass.
+
+    A null or empty text has the score of no terms.  Repeated rows stay or go alike; an empty table gives no rows;
+    columns of any name pass through.
+    """
     schema = docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,4 +186,4 @@ def drop_toxic(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_
             row, bucket, count = term_counts(data, off, only)
             yield batch.filter(pa.array(model.scores(row, np.searchsorted(model.terms, bucket), count, batch.num_rows) < 0.5))
 
-    return ship(docs).mapInArrow(run, schema)
+    return ship(docs).mapInArrow(lean(run), schema)
