@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from graphloom.llm import bpe, components, ctw, exact_dedup, langid, minhash, mixing, packing, tokencount, tokenout, topk, toxicity
+from graphloom.llm import bpe, components, ctw, exact_dedup, langid, minhash, mixing, packing, textkit, tokencount, tokenout, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, digest string, kept string, length int"
 WORDS = [a + b for a in ("ka", "lo", "mi", "ta", "re", "su") for b in ("n", "ra", "to", "l", "", "di")]
@@ -183,6 +183,58 @@ def test_superminhash_is_the_walk_of_each_element():
     assert abs((sig[0] == sig[1]).mean() - true) < 0.05
 
 
+def test_spans_of_one_structure_differ():
+    for n in (1024, 2048):
+        word = b"a"
+        while len(word) < n:
+            word += word.translate(bytes.maketrans(b"ab", b"ba"))
+        other = word.translate(bytes.maketrans(b"ab", b"ba"))
+        data = np.frombuffer(word + other, np.uint8)
+        h = textkit.span_hashes(data, np.array([0, n]), np.array([n, 2 * n]))
+        assert h[0] != h[1]
+        ids, at = bpe.BatchEncoder().encode(data, np.array([0, n, 2 * n]))
+        ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        assert [ids[at[i] : at[i + 1]].tolist() for i in (0, 1)] == [ref.encode(x.decode(), add_special_tokens=False).ids for x in (word, other)]
+    rng = np.random.default_rng(0)
+    data = rng.integers(97, 99, 400).astype(np.uint8)
+    s = np.arange(0, 400, 5)
+    h = textkit.span_hashes(data, s, s + 5)
+    assert len(set(h.tolist())) == len({bytes(data[i : i + 5]) for i in s})
+
+
+def test_linked_finds_every_component():
+    rng = np.random.default_rng(21)
+    base = [rng.integers(1, 1 << 62, rng.integers(1, 60), dtype=np.uint64) for _ in range(12)]
+    for percent in (50, 80, 85):
+        sets = []
+        for _ in range(150):
+            x = base[rng.integers(0, 12)]
+            own = x[rng.random(len(x)) > rng.choice([0.02, 0.1, 0.3])]
+            sets.append(np.unique(np.concatenate([own, rng.integers(1, 1 << 62, rng.integers(0, 3), dtype=np.uint64), x[:1]])))
+        ids = rng.permutation(5000)[:150].astype(np.int64)
+        want = []
+        for i, j in combinations(range(150), 2):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                want.append((ids[i], ids[j]))
+        found = minhash._linked(sets, ids, percent)
+        assert len(found[0]) < 150
+        roots = [dict(zip(*(x.tolist() for x in components.union_find(np.array(a), np.array(b))), strict=True)) for a, b in (zip(*want, strict=True), found)]
+        assert roots[0] == roots[1]
+
+
+def test_a_large_group_of_near_copies_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(22)
+    common = rng.integers(1, 1 << 62, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([common[5:], rng.integers(1, 1 << 62, 3, dtype=np.uint64)])) for _ in range(2048)]
+    tracemalloc.start()
+    a, b = minhash._linked(sets, np.arange(2048), 85)
+    assert len(a) == 2047 and tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(i, i + 1) for i in range(1000, 1200)] + [(5000, i) for i in range(4000, 4300)]
@@ -212,6 +264,71 @@ def test_top_k(spark):
     assert topk.exact_top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_top_k_of_very_large_components(spark):
+    rng = np.random.default_rng(41)
+    rows = [(i, [float(x) for x in rng.normal(0, 10.0 ** rng.integers(0, 31), 4)]) for i in range(120)] + [(120, [1e30, -1e30, 1e30, 3.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    ints = {i: [math.floor(1024 * x) for x in r] for i, r in rows}
+    got = defaultdict(list)
+    for r in topk.exact_top_k(df, df.where("vec_id % 100 = 0")).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 100):
+        s = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(ints[q], ints[c], strict=True)))), c) for c in ints if c != q)[:10]
+        assert sorted(got[q]) == [(k + 1, c, -x) for k, (x, c) in enumerate(s)]
+
+
+CLASHES = ("rep", "n", "d1", "bands", "key", "y", "terms", "counts", "digest", "__digest", "__kept_id", "__gone0", "__hot", "__crc", "__tokens", "__topic", "__source", "kept", "length", "number", "before", "salt", "h", "lang_pred", "score", "row", "word", "c", "block", "shard")
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Null ids and values, repeated rows, an id with several texts, and columns with the operators' own names."""
+    rows = [(None, "null id one two three", None, None), (None, None, "en", "s"), (None, "again again", "en", "s"), (None, "again again", "en", "s"), (5, "a b c d e f g", "en", "s"), (5, "a b c d e f g", "en", "s"), (5, "other text of this id", "de", ""), (6, None, None, None), (7, "", "de", "s"), (8, "A B c d e f g", "de", "t"), (1 << 60, "x " * 3000, "en", "s")]
+    schema = "doc_id long, text string, lang string, source string, " + ", ".join(f"`{c}` string" for c in CLASHES)
+    return spark.createDataFrame([(*r, *["clash"] * len(CLASHES)) for r in rows], schema).repartition(3)
+
+
+def test_odd_rows_stay_rows(spark, odd):
+    n = odd.count()
+    labels = spark.createDataFrame([(5, 1, "q"), (7, 0, "q"), (8, 0, "q"), (None, 1, "q"), (8, 1, "q")], "doc_id long, toxic int, text string")
+    model = toxicity.train(odd, labels)
+    for out in (exact_dedup.exact_duplicates(odd), minhash.near_duplicates(odd), toxicity.toxicity_scores(odd, model), ctw.lm_scores(odd, odd), langid.predict_language(odd, langid.train(odd)), tokencount.document_token_counts(odd), mixing.mix_weights(odd)):
+        assert out.count() == n
+        assert sum(r["doc_id"] is None for r in out.select("doc_id").collect()) == 4
+        assert (1 << 60) in {r["doc_id"] for r in out.select("doc_id").collect()}
+    assert packing.best_fit_pack(odd).where("piece = 0").count() == n
+    assert sum(len([p for p in r["pieces"] if p == 0]) for r in tokenout.packed_matrices(odd).collect()) == n
+    assert {r["n_tokens"] for r in tokencount.document_token_counts(odd).where("doc_id = 7 or doc_id = 6").collect()} == {0}
+
+
+def test_odd_rows_through_the_filters(spark, odd):
+    texts = Counter(r["text"] or "" for r in exact_dedup.drop_exact_duplicates(odd).collect())
+    assert set(texts.values()) == {1} and set(texts) == {r["text"] or "" for r in odd.collect()}
+    near = minhash.drop_near_duplicates(odd)
+    assert near.columns == odd.columns and near.where("doc_id is null").count() == 4
+    assert {r["doc_id"] for r in near.where("doc_id is not null").collect()} == {5, 6, 7, 1 << 60}
+    assert mixing.mix_documents(odd, budget_share=1.0, powers={"source": 1.0, "lang": 1.0, "topic": 1.0}).columns == odd.columns
+    model = toxicity.train(odd, spark.createDataFrame([(5, 1), (7, 0)], "doc_id long, toxic int"))
+    assert toxicity.drop_toxic(odd, model).columns == odd.columns
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([(5, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for table in (odd, odd.limit(0)):
+        docs = table
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns
+                docs = out
+            else:
+                assert out.where("piece = 0").count() == docs.count()
+    odd.drop("__digest").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).columns[:2] == ["doc_id", "piece"]
+
+
 def test_mixing(docs, none):
     rows = mixing.mix_weights(docs, 0.5).collect()
     assert len(rows) == docs.count() and {r["__source"] for r in rows} >= {"(none)", "src0"}
@@ -246,6 +363,34 @@ def test_mixing_describes_whole_texts(spark):
     assert got == {i: (*kind(t or ""), zlib.crc32((t or "").encode())) for i, t in enumerate(texts)}
 
 
+def test_mixing_is_rake_probability_and_draw_from_end_to_end(docs, texts):
+    given = {"lang": {"en": 3.0, "de": 1.0, "(none)": 1.0}}
+    rows = mixing.mix_weights(docs, 0.4, given=given).collect()
+    cells = defaultdict(int)
+    for r in rows:
+        cells[r["__source"], r["__lang"], r["__topic"]] += r["__tokens"]
+    keys, total = sorted(cells), sum(cells.values())
+    x = {k: cells[k] / total for k in keys}
+    for _ in range(300):
+        for axis, power in enumerate((0.7, None, 0.7)):
+            share = defaultdict(float)
+            have = defaultdict(float)
+            for k in keys:
+                share[k[axis]] += cells[k] / total
+                have[k[axis]] += x[k]
+            goal = {v: given["lang"].get(v, 0) if power is None else s**power if s else 0 for v, s in share.items()}
+            x = {k: x[k] * goal[k[axis]] / sum(goal.values()) / have[k[axis]] if have[k[axis]] else 0 for k in keys}
+    low, high = 0.0, 1e12
+    for _ in range(300):
+        c = (low + high) / 2
+        low, high = (c, high) if sum(min(cells[k], c * x[k]) for k in keys) < 0.4 * total else (low, c)
+    for r in rows:
+        k = r["__source"], r["__lang"], r["__topic"]
+        assert r["__probability"] == pytest.approx(min(1, c * x[k] / cells[k]) if cells[k] else 0, rel=1e-4, abs=1e-9)
+        assert r["__sampled"] <= (r["__probability"] > 0)
+    assert sorted(r["doc_id"] for r in mixing.mix_documents(docs, budget_share=0.4, given=given).collect()) == sorted(r["doc_id"] for r in rows if r["__sampled"])
+
+
 def test_rake_meets_both_marginals():
     rng = np.random.default_rng(5)
     tokens, codes = rng.random(24) + 0.1, [np.arange(24) // 6, np.arange(24) % 6]
@@ -297,6 +442,40 @@ def test_context_tree_is_a_distribution_and_the_weighted_mixture():
         assert block[0, 1] == pytest.approx(kt(z, o), abs=1e-8) and p[0, 1] == pytest.approx((o + 0.5) / (z + o + 1))
 
 
+def test_the_weighted_mixture_by_brute_force(spark):
+    """Block probabilities of a context tree, weighted node by node, against the scores of the same texts."""
+    rng = np.random.default_rng(13)
+    own = ["".join(rng.choice(list("ab"), rng.integers(1, 7))) for _ in range(30)]
+    df = spark.createDataFrame(list(enumerate(own)), "doc_id long, text string").repartition(2)
+    depth = 2
+    seen = Counter((bytes(depth) + t.encode() + b"\0")[i : i + depth + 1] for t in own[::2] for i in range(len(t) + 1))
+
+    def kt(z, o):
+        return math.exp(math.lgamma(z + 0.5) + math.lgamma(o + 0.5) - math.lgamma(z + o + 1) - 2 * math.lgamma(0.5))
+
+    def weighted(context, prefix, extra):
+        """Probability of all decisions after `prefix` bits in the contexts that end in `context`; extra: one more run."""
+        runs = [*seen.elements(), *extra]
+        bits = [f"{r[-1]:08b}" for r in runs if r[:-1].endswith(context)]
+        after = [b[len(prefix)] for b in bits if b.startswith(prefix)]
+        block = kt(after.count("0"), after.count("1"))
+        if len(context) == depth:
+            return block
+        deeper = {r[depth - len(context) - 1 : depth] for r in runs if r[:-1].endswith(context)}
+        return 0.5 * block + 0.5 * math.prod(weighted(c, prefix, extra) for c in deeper)
+
+    got = {r["doc_id"]: r["score"] for r in ctw.lm_scores(df, df.where("doc_id % 2 = 0"), depth=depth).collect()}
+    for i in (0, 2, 4):
+        t = own[i]
+        want = 0.0
+        for j in range(len(t) + 1):
+            run = (bytes(depth) + t.encode() + b"\0")[j : j + depth + 1]
+            bits = f"{run[-1]:08b}"
+            for b in range(8):
+                want += math.log10(weighted(b"", bits[:b], [run]) / weighted(b"", bits[:b], []))
+        assert got[i] == pytest.approx(want, rel=1e-4)
+
+
 @pytest.mark.parametrize("head", [1 << 21, 40])
 def test_lm_scores_keep_every_context(spark, monkeypatch, head):
     rng = np.random.default_rng(12)
@@ -334,7 +513,8 @@ def test_separator_scan_of_files(spark, tmp_path):
     ids = [5, 9, 7, 9, 9, 1, 2, 3, 4, 9, 8]
     (tmp_path / "a.bin").write_bytes(np.array(ids, "<u2").tobytes())
     (tmp_path / "b.bin").write_bytes(b"")
-    blocks = tokencount.file_blocks(spark.read.format("binaryFile").load(str(tmp_path)), 2, 3)
+    blocks = tokencount.file_blocks(spark, str(tmp_path), 2, 3)
+    assert {r["shard"].rsplit("/", 1)[1] for r in blocks.collect()} == {"a.bin"} and blocks.count() == 4
     got = sorted((r["ordinal"], r["n_tokens"], r["open"]) for r in tokencount.separator_scan(blocks, 9, 3).collect())
     assert got == [(0, 1, False), (1, 1, False), (2, 0, False), (3, 4, False), (4, 1, True)]
 
