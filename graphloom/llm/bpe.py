@@ -79,7 +79,7 @@ class BatchEncoder:
     The memory of pieces is emptied when it holds `most` of them; that changes no result.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1 << 19):
+    def __init__(self, path: str | None = None, most: int = 1 << 17):
         self.enc, self.most = encoder(path or vocabulary_path()), most
         self._reset()
 
@@ -122,9 +122,8 @@ class BatchEncoder:
             fast = ~slow[rows]
             s, e, rows = s[fast], e[fast], rows[fast]
         h = _point_hashes(points, s, e)
-        import pandas as pd
-
-        codes, values = pd.factorize(h)
+        coded = pa.array(h).dictionary_encode()
+        codes, values = coded.indices.to_numpy(), coded.dictionary.to_numpy()
         firsts = np.empty(len(values), np.int64)
         firsts[codes[::-1]] = np.arange(len(codes))[::-1]
         keys = values.tolist()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,20 +33,31 @@ def union_find(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[other], nodes[root[other]]
 
 
+def forest(links: Iterable[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """One batch (a, b) of a forest of many links; no more than it and some of the links is held."""
+    held, n = [(np.zeros(0, np.int64),) * 2], 0
+    for x in links:
+        held.append(x)
+        n += len(x[0])
+        if n > max(1 << 16, 2 * len(held[0][0])):
+            held, n = [union_find(*(np.concatenate(y) for y in zip(*held, strict=True)))], 0
+    a, b = union_find(*(np.concatenate(y) for y in zip(*held, strict=True)))
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    a = b = np.zeros(0, np.int64)
-    for batch in batches:  # only a forest of the partition's own nodes is held
-        a, b = union_find(np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()]))
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+    yield forest((x.column(0).to_numpy(), x.column(1).to_numpy()) for x in batches)
 
 
-def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 60, forests: bool = False) -> DataFrame:
     """node, root (least node of its component) of every node of `edges` (a, b: long) that isn't a root itself.
 
     Self links and repeated links change nothing; no edges give no rows.  Each round works on joins and grouped
-    minima alone, so a node with very many neighbours is no list in one task.
+    minima alone, so a node with very many neighbours is no list in one task.  forests: each partition of edges is a
+    forest already, which isn't made again.
     """
-    now = materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).mapInArrow(lean(_forest), "a long, b long"), "forest")
+    links = edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    now = materialize(links if forests else links.mapInArrow(lean(_forest), "a long, b long"), "forest")
     state, total = None, now.count()
     for _ in range(rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .components import connected_components
+from .components import connected_components, forest
 from .shared import lean, materialize, parts, ship, split_join, without
 from .textkit import U64, column, mix, signed, slices, span_hashes, word_spans
 
@@ -195,30 +195,28 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     tasks = in_bucket.withColumn("blocks", blocks).withColumn("own", own).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     tasks = tasks.select("rep", "d1", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("task"))
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         task, ids, held = None, [], []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(ids) > 1:
-                a, b = _linked(held, np.array(ids, np.int64), percent)
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
-
         for batch in batches:
             for t, rep, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if t != task:
-                    yield from done()
+                    if len(ids) > 1:
+                        yield _linked(held, np.array(ids, np.int64), percent)
                     task, ids, held = t, [], []
                 ids.append(rep)
                 held.append(np.frombuffer(raw.as_buffer(), U64))
-        yield from done()
+        if len(ids) > 1:
+            yield _linked(held, np.array(ids, np.int64), percent)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield forest(found(batches))
 
     links = tasks.join(sets, ["rep", "d1"]).select("task", "rep", "set").repartition(parts(docs) * 2, "task").sortWithinPartitions("task").mapInArrow(lean(compare), "a long, b long")
-    roots = connected_components(links)
+    roots = connected_components(links, forests=True)
     rooted = classes.select("d1", "d2", "n", "copies", "rep").join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("d1", "d2", "n", "copies", F.coalesce("root", "rep").alias("component_id"))
-    found = split_join(some.select("doc_id", "d1", "d2", "n"), materialize(rooted, "rooted"), ["d1", "d2", "n"], "copies", total).select("doc_id", "n", "component_id")
+    full_rows = split_join(some.select("doc_id", "d1", "d2", "n"), materialize(rooted, "rooted"), ["d1", "d2", "n"], "copies", total).select("doc_id", "n", "component_id")
     empty = sketch.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
-    return found.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return full_rows.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:

@@ -35,7 +35,7 @@ def described(rows: DataFrame, keep: list[str], text: str = "text") -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = np.array(TOPICS, dtype=object)
-        for batch, data, off in slices(batches, text, 1 << 18):
+        for batch, data, off in slices(batches, text):
             _, _, at = word_spans(data, off)
             tokens = np.diff(at)
             per_row = lambda flag: np.diff(np.searchsorted(np.flatnonzero(flag), off))
@@ -147,9 +147,8 @@ def mix_weights(docs: DataFrame, budget_share: float = 0.6, powers: dict[str, fl
             codes.append(code)
             targets.append(np.array([want[v] for v in values.tolist()]))
         p = probabilities(tokens, rake(tokens, codes, targets), budget_share * tokens.sum()) if len(tokens) else tokens
-        table = [(*(got.column(a)[i].as_py() for a in AXES), float(p[i])) for i in range(len(p))]
-        fitted = docs.sparkSession.createDataFrame(table, "__source string, __lang string, __topic string, __probability double")
-        fitted = F.broadcast(fitted) if len(table) <= most_cells else fitted
+        table = pa.table([*(got.column(a).cast(pa.string()) for a in AXES), pa.array(p, pa.float64())], names=["__source", "__lang", "__topic", "__probability"])
+        fitted = F.broadcast(docs.sparkSession.createDataFrame(table))  # at most `most_cells` rows
     else:
         fitted = _rake_frames(cells, powers, given, budget_share).select(*[F.col(a).alias(f"__{a}") for a in AXES], F.col("probability").alias("__probability"))
     own = list(dict.fromkeys([*keep, "__source", "__lang"]))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _ROOTS: dict[str, str] = {}
-BATCH = 4 << 20  # bytes of an Arrow batch
+BATCH = 1 << 20  # bytes of an Arrow batch
 FEW = 1 << 20  # ids that are broadcast, at most
 
 

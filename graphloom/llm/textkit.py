@@ -52,7 +52,7 @@ def utf8(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterable[pa.RecordBatch], name: str, most: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Runs of rows of about `most` bytes of text (one row at least): the rows, their bytes, their offsets."""
     for batch in batches:
         if not batch.num_rows:
