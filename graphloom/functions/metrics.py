@@ -59,6 +59,15 @@ def annotation_problems(long: DataFrame, allowed: list[str]) -> DataFrame:
     return twice.unionByName(unknown).unionByName(single)
 
 
+def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
+    """n and spearman: the correlation of average ranks of two columns, over rows that have both."""
+    from graphloom.operators.labels import with_percentiles
+
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).cast("double").alias("__a"), F.col(b).cast("double").alias("__b"))
+    ranked = with_percentiles(with_percentiles(both, "__a", "__ra"), "__b", "__rb")
+    return ranked.agg(F.count("*").alias("n"), F.corr("__ra", "__rb").alias("spearman"))
+
+
 def recall_and_mrr(ranked: DataFrame, gold: DataFrame, ks: tuple[int, ...] = (5, 10), by: list[str] | None = None) -> DataFrame:
     """ranked: question, id, rank; gold: question, id.  Share of questions with a gold id in the first k; mean 1 / rank."""
     by = by or []

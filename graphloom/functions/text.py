@@ -48,8 +48,8 @@ def kept_lines(text: Column) -> Column:
 
 
 def clean_text(text: Column) -> Column:
-    """kept_lines in one text; a line that ends in a hyphen or its OCR sign takes up the next one if that is in small letters."""
-    return F.regexp_replace(F.array_join(kept_lines(text), "\n"), r"(?<=[A-Za-z¬\-])(?:¬|-)+\n(?=\p{Ll})", "")
+    """kept_lines in one text; a line that ends in one hyphen after a letter or in the OCR sign takes up the next one if that is in small letters."""
+    return F.regexp_replace(F.array_join(kept_lines(text), "\n"), r"(?:[¬\-]*¬-?|(?<=[A-Za-z])-)\n(?=\p{Ll})", "")
 
 
 def paragraphs(text: Column, least_words: int = 5) -> Column:
@@ -162,29 +162,6 @@ def overclaims(sentence: Column) -> Column:
     return body.rlike(CLAIM) & ~body.rlike(NEG)
 
 
-def ground_triples(rows: DataFrame, entities: DataFrame) -> DataFrame:
-    """(chunk, passage, raw JSON) to (chunk, s, r, o, reason): reason is null for an accepted triple.
-
-    A triple needs three parts, a known relation, both names in the passage as whole words, and both in `entities`
-    (surface, entity), names in lower case.
-    """
-    parsed = F.from_json("raw", "triples array<struct<subject:string,relation:string,object:string>>")
-    every = rows.withColumn("parsed", parsed)
-    broken = every.where("parsed is null or parsed.triples is null").select("chunk", *[F.lit(None).cast("string").alias(c) for c in ("s", "r", "o")], F.when(F.try_parse_json("raw").isNull(), "malformed output").otherwise("no list").alias("reason"))
-    flat = every.where("parsed.triples is not null").select("chunk", F.lower("passage").alias("passage"), F.explode("parsed.triples").alias("t"))
-    flat = flat.select("chunk", "passage", *[F.lower(F.trim(f"t.{c}")).alias(c) for c in ("subject", "relation", "object")])
-    flat = flat.withColumn("r", F.when(F.col("relation").isin(REDUCE), "REDUCES").when(F.col("relation").isin(INCREASE), "INCREASES"))
-    names = entities.groupBy("surface").agg(F.min("entity").alias("entity"))
-    flat = flat.join(names.select(F.col("surface").alias("subject"), F.col("entity").alias("s")), "subject", "left").join(names.select(F.col("surface").alias("object"), F.col("entity").alias("o")), "object", "left")
-    padded = F.concat(F.lit(" "), F.regexp_replace("passage", "[^a-z0-9]+", " "), F.lit(" "))
-    inside = lambda c: F.contains(padded, F.concat(F.lit(" "), F.regexp_replace(c, "[^a-z0-9]+", " "), F.lit(" ")))
-    reason = (
-        F.when(F.col("subject").isNull() | F.col("relation").isNull() | F.col("object").isNull(), "malformed triple").when(F.col("r").isNull(), "relation not allowed")
-        .when(~inside("subject"), "subject not in passage").when(~inside("object"), "object not in passage").when(F.col("s").isNull(), "subject unknown").when(F.col("o").isNull(), "object unknown")
-    )
-    return broken.unionByName(flat.select("chunk", "s", "r", "o", reason.alias("reason"))).distinct()
-
-
 def make_chunks(docs: DataFrame, **how) -> DataFrame:
     """Raw texts (key, text) to chunks: cleaned lines, merged paragraphs, then chunk_documents."""
     ready = F.array_join(merged_paragraphs(clean_text(F.col("text"))), "\n\n")

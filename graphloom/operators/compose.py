@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -16,7 +16,7 @@ def base_weights(ingredients: DataFrame) -> DataFrame:
     return ingredients.groupBy("formulation", "herb").agg(F.count("*").alias("times")).join(n, "formulation").withColumn("w0", F.col("times") / F.col("n")).drop("times", "n")
 
 
-def knapsack_weights(rows: DataFrame, keys: list[str], lo: float = 0.5, hi: float = 2.0) -> DataFrame:
+def knapsack_weights(rows: DataFrame, keys: list[str], lo: float | Column = 0.5, hi: float | Column = 2.0) -> DataFrame:
     """w that minimises the sum of w * risk with equal total, lo * w0 <= w <= max(w0, min(total, hi * w0)).
 
     rows: keys, herb, w0, risk.  Without coverage rows the program is a fractional knapsack: what the lower bounds
@@ -81,7 +81,12 @@ def simplex(c: np.ndarray, a: np.ndarray, b: np.ndarray, ae: np.ndarray, be: np.
 
 
 def optimise(risk: np.ndarray, w0: np.ndarray, drug_weights: np.ndarray | None = None, cover: np.ndarray | None = None, tau: float = 0.8, lo: float = 0.5, hi: float = 2.0, objective: str = "sum") -> dict:
-    """Weights of one formulation against risk (herbs x drugs); infeasible programs keep w0."""
+    """Weights of one formulation against risk (herbs x drugs): the weighted sum over drugs, or the worst drug, unweighted.
+
+    Infeasible programs keep w0.  coverage: the least share of a use's baseline that is left, None without uses.
+    """
+    if objective not in ("sum", "max"):
+        raise ValueError(f"unknown objective {objective!r}")
     risk, w0 = np.asarray(risk, float).reshape(len(w0), -1), np.asarray(w0, float)
     n, total = len(w0), float(np.sum(w0))
     low, high = lo * w0, np.maximum(w0, np.minimum(total, hi * w0))
@@ -93,12 +98,14 @@ def optimise(risk: np.ndarray, w0: np.ndarray, drug_weights: np.ndarray | None =
         a.append(np.hstack([-cover, np.zeros((len(cover), extra))]))
         b.append(cover @ low - tau * (cover @ w0))
     if extra:
-        a.append(np.hstack([(risk * weights).T, -np.ones((risk.shape[1], 1))]))
-        b.append(-((risk * weights).T @ low))
+        a.append(np.hstack([risk.T, -np.ones((risk.shape[1], 1))]))
+        b.append(-(risk.T @ low))
     x = simplex(c, np.vstack(a), np.concatenate(b), np.hstack([np.ones((1, n)), np.zeros((1, extra))]), np.array([total - low.sum()]))
     w = w0 if x is None else x[:n] + low
-    value = lambda v: float(np.max(v @ (risk * weights)) if extra else v @ risk @ weights)
-    return {"w": w, "base": value(w0), "value": value(w), "feasible": x is not None, "halved": w < 0.5 * w0 - 1e-9, "removed": w < 1e-9}
+    value = lambda v: float(np.max(v @ risk) if extra else v @ risk @ weights)
+    have = cover @ w0 if cover is not None and len(cover) else np.zeros(0)
+    ratio = float(np.min((cover @ w)[have > 0] / have[have > 0])) if (have > 0).any() else None
+    return {"w": w, "base": value(w0), "value": value(w), "feasible": x is not None, "halved": w < 0.5 * w0 - 1e-9, "removed": (w < 1e-9) & (w0 > 1e-9), "drug_risk": w @ risk, "base_drug_risk": w0 @ risk, "coverage": ratio}
 
 
 def optimise_groups(rows: DataFrame, keys: str, tau: float = 0.8, lo: float = 0.5, hi: float = 2.0) -> DataFrame:
@@ -118,6 +125,51 @@ def optimise_groups(rows: DataFrame, keys: str, tau: float = 0.8, lo: float = 0.
     return rows.groupBy(keys, "drug").applyInPandas(solve, f"{keys} {kind[keys]}, drug {kind['drug']}, base double, value double, feasible boolean")
 
 
+def optimise_formulations(rows: DataFrame, tau: float = 0.8, lo: float = 0.5, hi: float = 2.0, objective: str = "sum") -> DataFrame:
+    """A program per formulation against all its drugs together: rows formulation, herb, drug, w0, risk, uses (array).
+
+    Each herb of a formulation has a row for each of its drugs.  formulation, base, value, feasible, coverage, n_halved,
+    n_removed; a group is one formulation's herbs and drugs.
+    """
+    kind = dict(rows.dtypes)["formulation"]
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+    def solve(df: pd.DataFrame) -> pd.DataFrame:
+        order = np.lexsort((df["drug"].to_numpy(), df["herb"].to_numpy()))
+        herbs, first = np.unique(df["herb"].to_numpy()[order], return_index=True)
+        risk, w0 = df["risk"].to_numpy()[order].reshape(len(herbs), -1), df["w0"].to_numpy()[order][first]
+        own = [x if x is not None else () for x in df["uses"].to_numpy()[order][first]]
+        uses = sorted({u for x in own for u in x})
+        cover = np.array([[u in x for x in own] for u in uses], float).reshape(len(uses), len(herbs))
+        got = optimise(risk, w0, None, cover, tau, lo, hi, objective)
+        return pd.DataFrame({"formulation": [df["formulation"].iloc[0]], "base": [got["base"]], "value": [got["value"]], "feasible": [got["feasible"]], "coverage": [got["coverage"]], "n_halved": [int(got["halved"].sum())], "n_removed": [int(got["removed"].sum())]})
+
+    return rows.repartition(tasks, "formulation").groupBy("formulation").applyInPandas(solve, f"formulation {kind}, base double, value double, feasible boolean, coverage double, n_halved int, n_removed int")
+
+
+def scenarios(solved: DataFrame, keys: list[str]) -> DataFrame:
+    """Solved rows (keys, herb, w0, w, risk, other: a second, independent risk) to one row a scenario.
+
+    base, value: risk before and after; reduction: what the change saves, 0 without risk; other_base, other_value,
+    other_reduction: the same change by the other risk; n_herbs, n_reduced, n_removed.
+    """
+    total = lambda w, r: F.sum(F.col(w) * F.col(r))
+    sums = solved.groupBy(*keys).agg(
+        total("w0", "risk").alias("base"), total("w", "risk").alias("value"), total("w0", "other").alias("other_base"), total("w", "other").alias("other_value"), F.count("*").alias("n_herbs"),
+        F.count_if(F.col("w") < 0.5 * F.col("w0") - 1e-9).alias("n_reduced"), F.count_if((F.col("w") < 1e-9) & (F.col("w0") > 1e-9)).alias("n_removed"),
+    )
+    saved = lambda a, b: F.when(F.col(a) > 0, 1 - F.col(b) / F.col(a)).otherwise(0.0)
+    return sums.withColumn("reduction", saved("base", "value")).withColumn("other_reduction", saved("other_base", "other_value"))
+
+
+def directions(solved: DataFrame, by: list[str], close: float = 1e-6) -> DataFrame:
+    """Per herb and drug: in how many formulations its share falls or grows, and the median change."""
+    change = F.col("w") - F.col("w0")
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return solved.groupBy(*by).agg(F.count("*").alias("n"), share(change < -close).alias("reduced"), share(change > close).alias("increased"), F.median(change / F.col("w0")).alias("median_change"))
+
+
 def select_cases(solved: DataFrame, picks: DataFrame, k: int = 3) -> DataFrame:
     """(herb, drug, note, formulation, n_in_scope, share_before, share_after): the k widest formulations of each pick."""
     whole = Window.partitionBy("formulation", "drug")

@@ -84,7 +84,7 @@ def checked_answers(answers: DataFrame, items: DataFrame) -> DataFrame:
         chosen = F.filter("items", lambda i: F.array_contains(cites, i["item"]))
         used = F.when(F.size(chosen) > 0, chosen).otherwise(F.col("items"))
         share = F.size(F.array_intersect(words, F.flatten(F.transform(used, lambda i: i["words"])))) / F.nullif(F.size(words), F.lit(0))
-        co = (F.size(chosen) > 0) & F.forall(chosen, lambda i: (i["kind"] == "G") & F.contains(i["text"], F.lit(CO.replace("_", "-"))))
+        co = (F.size(chosen) > 0) & F.forall(chosen, lambda i: (i["kind"] == "G") & F.contains(i["text"], F.lit(CO)))
         return F.struct((F.size(cites) == 0).alias("bare"), share.alias("share"), co.alias("co"), (co & text.overclaims(s)).alias("over"))
 
     a = a.withColumn("parts", F.transform(text.sentences(F.col("raw")), part))

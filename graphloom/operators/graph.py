@@ -117,12 +117,13 @@ CONFIDENCE = ["high", "medium", "low"]
 def gold_problems(gold: DataFrame, herbs: list[str], drugs: list[str]) -> DataFrame:
     """subject, problem of gold rows (text columns, label as a number)."""
     c = F.col
-    blank = lambda x: F.trim(F.coalesce(c(x).cast("string"), F.lit(""))) == ""
+    text = lambda x: F.coalesce(c(x).cast("string"), F.lit(""))
+    blank = lambda x: F.trim(text(x)) == ""
     rules = {
-        "unknown herb": ~c("herb").isin(herbs), "unknown drug": ~c("drug").isin(drugs), "label must be 0 or 1": ~c("label").isin(0, 1), "bad mechanism": ~c("mechanism").isin(MECHANISMS),
-        "bad evidence": ~c("evidence").isin(EVIDENCE), "bad confidence": ~c("confidence").isin(CONFIDENCE), "pmid must be numeric": ~F.coalesce(c("pmid"), F.lit("")).rlike(r"\A\d+\z"),
+        "unknown herb": ~text("herb").isin(herbs), "unknown drug": ~text("drug").isin(drugs), "label must be 0 or 1": ~F.coalesce(c("label").cast("int"), F.lit(-1)).isin(0, 1), "bad mechanism": ~text("mechanism").isin(MECHANISMS),
+        "bad evidence": ~text("evidence").isin(EVIDENCE), "bad confidence": ~text("confidence").isin(CONFIDENCE), "pmid must be numeric": ~F.coalesce(c("pmid"), F.lit("")).rlike(r"\A\d+\z"),
         "missing verification": blank("verification"), "missing citation": blank("citation"),
-        "label 0 requires mechanism none": (c("label") == 0) & (c("mechanism") != "none"), "label 1 cannot have mechanism none": (c("label") == 1) & (c("mechanism") == "none"),
+        "label 0 requires mechanism none": (c("label") == 0) & (text("mechanism") != "none"), "label 1 cannot have mechanism none": (c("label") == 1) & (c("mechanism") == "none"),
     }
     return problems_of(gold, rules, ["herb", "drug", "pmid"])
 

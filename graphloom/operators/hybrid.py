@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .retrieval import cosine_top_k, reciprocal_rank_fusion, top_k
 
-CO = "co_mentioned"
+CO = "co-mentioned"
 
 
 def _base_characters() -> tuple[str, str]:
@@ -37,15 +37,17 @@ def usable_surfaces(lexicon: DataFrame) -> DataFrame:
     return rows.groupBy("surface").agg(F.min("entity").alias("entity"), F.count_distinct("entity").alias("n")).where("n = 1").drop("n")
 
 
-def linked_phrases(docs: DataFrame, lexicon: DataFrame, most_words: int = 4) -> DataFrame:
+def linked_phrases(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, entity, place, words): left to right, the longest phrase first, without overlaps.
 
-    Runs of 1 to most_words words, one row each and no row with more of its text, meet the lexicon in a join, so neither side needs to fit in a task; a fold over the
-    hits of one text drops those that start within a longer or earlier one.  Longer surfaces are never found.
+    Runs of as many words as the surfaces have, one row each and no row with more of its text, meet the lexicon in a join,
+    so neither side needs to fit in a task; a fold over the hits of one text drops those that start within a longer or
+    earlier one.
     """
+    sizes = [r[0] for r in usable_surfaces(lexicon).select(F.size(F.split("surface", " "))).distinct().collect()]  # numbers of words, not surfaces
     words = F.filter(F.split(folded(F.col("text")), " "), lambda w: w != "")
     run = lambda i, n: F.struct(n.alias("words"), F.array_join(F.slice("w", i + 1, n), " ").alias("surface"))
-    runs = F.transform("w", lambda x, i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most_words), F.size("w") - i)), lambda n: run(i, n)))
+    runs = F.transform("w", lambda x, i: F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size("w") - i), lambda n: run(i, n)))
     at = docs.select("doc_id", words.alias("w")).select("doc_id", F.posexplode(runs).alias("place", "runs"))
     hits = at.select("doc_id", "place", F.inline("runs")).join(usable_surfaces(lexicon), "surface")
     best = hits.groupBy("doc_id", "place").agg(F.max_by(F.struct("words", "entity"), "words").alias("hit"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,26 +44,37 @@ def herb_drug_scores(labels: DataFrame, contains: DataFrame) -> DataFrame:
     return out.withColumn("frac_pos", F.col("n_pos") / F.nullif("n_labelled", F.lit(0)))
 
 
-def average_rank_percentile(value: str, group: list[str] | None = None) -> Column:
-    """Mean rank of equal values over the number of rows."""
-    part = Window.partitionBy(*(group or [F.lit(1)]))
-    tied = Window.partitionBy(*(group or []), value)
-    return (F.rank().over(part.orderBy(value)) + (F.count("*").over(tied) - 1) / 2) / F.count("*").over(part)
+def with_percentiles(rows: DataFrame, value: str, average: str | None = None, at_most: str | None = None, by: list[str] | None = None) -> DataFrame:
+    """rows with `average` (mean rank of equal values over the number of rows) and `at_most` (share of rows not above).
+
+    Rows are counted per distinct value first, so that windows see the distinct values only; nulls are left out.
+    """
+    by = by or []
+    steps = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
+    part = Window.partitionBy(*(by or [F.lit(1)]))
+    upto, total = F.sum("__n").over(part.orderBy(value)), F.sum("__n").over(part)
+    ranks = {average: (upto - (F.col("__n") - 1) / 2) / total, at_most: upto / total}
+    steps = steps.select(*by, value, *[c.alias(name) for name, c in ranks.items() if name])
+    return rows.join(steps, [*by, value])
 
 
 def gold_vs_silver(gold: DataFrame, scores: DataFrame) -> DataFrame:
     """Gold pairs (herb, drug, ...) with score and percentile among scored pairs; unmatched ones stay with nulls."""
-    ranked = scores.where("n_labelled > 0").withColumn("pct", average_rank_percentile("frac_pos"))
+    ranked = with_percentiles(scores.where("n_labelled > 0"), "frac_pos", "pct")
     return gold.join(ranked.select("herb", "drug", "frac_pos", "pct"), ["herb", "drug"], "left")
 
 
 def mask_label_edges(edges: DataFrame, enzymes: list[str] = CYP5, dropped: tuple[str, ...] = ("predicted_cyp_inhibitor", "substrate_of", "non_substrate_of"), masked: tuple[str, ...] = ("modulates", "targets")) -> DataFrame:
     """(etype, src, dst) without what labels could be derived from: whole types, and masked types' edges to the enzymes."""
-    return edges.where(~F.col("etype").isin(*dropped) & ~(F.col("etype").isin(*masked) & F.col("dst").isin(*enzymes)))
+    return edges.where(_unmasked(enzymes, dropped, masked))
+
+
+def _unmasked(enzymes: list[str] = CYP5, dropped: tuple[str, ...] = ("predicted_cyp_inhibitor", "substrate_of", "non_substrate_of"), masked: tuple[str, ...] = ("modulates", "targets")) -> Column:
+    return ~F.col("etype").isin(*dropped) & ~(F.col("etype").isin(*masked) & F.col("dst").isin(*enzymes))
 
 
 def assert_no_label_leak(edges: DataFrame, **how) -> None:
-    if edges.exceptAll(mask_label_edges(edges, **how)).limit(1).count():
+    if not edges.where(~F.coalesce(_unmasked(**how), F.lit(False))).isEmpty():
         raise AssertionError("edges that labels derive from are left")
 
 
@@ -100,6 +113,66 @@ def assert_disjoint(a: DataFrame, b: DataFrame) -> None:
         raise AssertionError("the two sides share ids")
 
 
+SPLITS = ("cold_compound", "cold_herb", "cold_drug", "random_pair")
+
+
+def make_folds(split: str, labels: DataFrame, contains: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
+    """fold, compound, drug, label, role (train or test) of every pair labelled 0 or 1 in each of k folds.
+
+    cold_compound, cold_drug: a fold's compounds (drugs) are in its test only.  cold_herb: compounds of held-out herbs
+    only are tested, those that other herbs have too are in neither.  random_pair: pairs are dealt one by one.
+    """
+    rows = labels.where(F.col("label").isin(0, 1)).select("compound", "drug", "label")
+    role = lambda own: F.when(F.col(own) == F.col("fold"), "test").otherwise("train").alias("role")
+    out = ["fold", "compound", "drug", "label"]
+    if split == "cold_herb":
+        return rows.join(herb_group_folds(contains, k, seed).where("role <> 'shared'"), "compound").select(*out, "role")
+    if split in ("cold_compound", "cold_drug"):
+        key = split[5:]
+        dealt = assign_folds(labels.select(F.col(key).alias("id")), k, seed)
+        rows = rows.join(dealt.select(F.col("id").alias(key), F.col("fold").alias("own")), key)
+    elif split == "random_pair":
+        pair = F.concat_ws("|", F.col("compound").cast("string"), F.col("drug").cast("string"))
+        dealt = assign_folds(rows.select(pair.alias("id")), k, seed)
+        rows = rows.withColumn("id", pair).join(dealt.withColumnRenamed("fold", "own"), "id")
+    else:
+        raise ValueError(f"unknown split {split!r}; choose from {SPLITS}")
+    return rows.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(k - 1)))).select(*out, role("own"))
+
+
+def cross_validate(folds: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame], k_top: int = 100) -> DataFrame:
+    """fold, n_train, n, n_pos, auroc, auprc, precision_at_k of all folds at once.
+
+    predict(train, test), both with a column fold, returns test's rows with p; it must keep folds apart.
+    """
+    from graphloom.functions.metrics import ranking_metrics
+
+    train, test = (folds.where(F.col("role") == r).drop("role") for r in ("train", "test"))
+    scored = predict(train, test)
+    place = F.row_number().over(Window.partitionBy("fold").orderBy(F.desc("p"), "compound", "drug"))
+    best = scored.withColumn("place", place).where(F.col("place") <= k_top).groupBy("fold").agg(F.avg(F.col("label").cast("double")).alias("precision_at_k"))
+    return ranking_metrics(scored, ["fold"]).join(train.groupBy("fold").agg(F.count("*").alias("n_train")), "fold", "left").join(best, "fold").select("fold", "n_train", "n", "n_pos", "auroc", "auprc", "precision_at_k")
+
+
+def prior_by_fold(train: DataFrame, test: DataFrame) -> DataFrame:
+    """A predictor for cross_validate: the drug's share of ones among the fold's training rows, else the fold's."""
+    rate = train.groupBy("fold", "drug").agg(F.avg("label").alias("rate"))
+    overall = train.groupBy("fold").agg(F.avg("label").alias("overall"))
+    return test.join(rate, ["fold", "drug"], "left").join(F.broadcast(overall), "fold", "left").withColumn("p", F.coalesce("rate", "overall")).drop("rate", "overall")
+
+
+def averaged_predictions(predictions: DataFrame) -> DataFrame:
+    """(seed, fold, compound, drug, p) to compound, drug, p (mean), n of each pair."""
+    return predictions.groupBy("compound", "drug").agg(F.avg("p").alias("p"), F.count("*").alias("n"))
+
+
+def label_histogram(labels: DataFrame) -> DataFrame:
+    """drug, n_pos, n_neg, n_unknown, share_pos (of the known; null if there are none)."""
+    one = lambda x: F.count_if(F.col("label") == x)
+    out = labels.groupBy("drug").agg(one(1).alias("n_pos"), one(0).alias("n_neg"), one(-1).alias("n_unknown"))
+    return out.withColumn("share_pos", F.col("n_pos") / F.nullif(F.col("n_pos") + F.col("n_neg"), F.lit(0)))
+
+
 def prior_scores(train: DataFrame, test: DataFrame, key: str = "drug") -> DataFrame:
     """Test rows with p: the key's share of ones in training, else the global share."""
     rate = train.groupBy(key).agg(F.avg("label").alias("rate"))

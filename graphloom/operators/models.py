@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labels import CYP5, assign_folds, average_rank_percentile, prior_scores
+from .labels import CYP5, assign_folds, prior_scores, with_percentiles
 
 #: Levels that an interaction profile counts, before its total.
 PROFILE = ["Major", "Moderate", "Minor"]
@@ -248,7 +248,7 @@ def model_scores(scored: DataFrame, contains: DataFrame, gold: DataFrame) -> Dat
     Means are held to 12 digits, so that pairs tie alike in whatever order they were summed.
     """
     risk = herb_drug_risk(scored, contains).withColumn("risk", F.round("risk", 12))
-    ranked = risk.withColumn("pct", average_rank_percentile("risk"))
+    ranked = with_percentiles(risk, "risk", "pct")
     return gold.join(ranked, ["herb", "drug"], "left")
 
 

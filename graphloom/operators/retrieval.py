@@ -64,14 +64,14 @@ def cooccurrence(found: DataFrame, left: str, right: str, least: int = 2) -> Dat
 
 def text_graph(cooccurring: DataFrame, triples: DataFrame) -> DataFrame:
     """a, b, relation, chunks, weight from (a, b, chunk) and (a, b, relation, chunk)."""
-    every = cooccurring.select("a", "b", F.lit("co_mentioned").alias("relation"), "chunk").unionByName(triples.select("a", "b", "relation", "chunk"))
+    every = cooccurring.select("a", "b", F.lit("co-mentioned").alias("relation"), "chunk").unionByName(triples.select("a", "b", "relation", "chunk"))
     return every.groupBy("a", "b", "relation").agg(F.array_sort(F.collect_set("chunk")).alias("chunks"), F.count_distinct("chunk").alias("weight"))
 
 
 def neighbours(graph: DataFrame) -> DataFrame:
     """entity, other, relation, weight, place: heaviest first, co-mentions after other relations of a weight."""
     both = graph.select(F.col("a").alias("entity"), F.col("b").alias("other"), "a", "b", "relation", "weight").unionByName(graph.where("a <> b").select(F.col("b").alias("entity"), F.col("a").alias("other"), "a", "b", "relation", "weight"))
-    by = Window.partitionBy("entity").orderBy(F.desc("weight"), F.col("relation") == "co_mentioned", "a", "b", "relation")
+    by = Window.partitionBy("entity").orderBy(F.desc("weight"), F.col("relation") == "co-mentioned", "a", "b", "relation")
     return both.withColumn("place", F.row_number().over(by)).drop("a", "b")
 
 

@@ -76,7 +76,7 @@ def score_facts(t: Tables) -> DataFrame:
     return hybrid.score_facts(_found(t), _fact_risk(t))
 
 
-SQL_GRAPH = f"""graph as (select a.entity a, b.entity b, 'co_mentioned' relation, count(distinct a.doc_id) weight, list_sort(list(distinct a.doc_id)) chunks
+SQL_GRAPH = f"""graph as (select a.entity a, b.entity b, 'co-mentioned' relation, count(distinct a.doc_id) weight, list_sort(list(distinct a.doc_id)) chunks
       from links a join links b using (doc_id) where a.entity like 'herb:%' and (b.entity like 'dosha:%' or b.entity like 'condition:%') group by 1, 2 having count(distinct a.doc_id) >= 2),
    touched as (select distinct question, a, b, relation, weight, chunks from found join graph on entity = a or entity = b),
    items as (select *, row_number() over (partition by question order by weight desc, a, b) k from touched qualify row_number() over (partition by question order by weight desc, a, b) <= 4),

@@ -5,7 +5,7 @@ import os
 import duckdb
 import pytest
 
-from graphloom.plans import answers, learned  # noqa: F401
+from graphloom.plans import answers, learned, studies  # noqa: F401
 from graphloom.plans.catalogue import ORACLE, QUERIES
 
 SF = "/root/testdata/sf0.001"

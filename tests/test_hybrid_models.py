@@ -32,10 +32,10 @@ def test_expansion_adds_what_the_question_lacks(spark, lexicon):
 
 
 def test_graph_items_and_their_passages(spark):
-    graph = spark.createDataFrame([("herb:h", "dosha:v", "co_mentioned", [5, 7], 2), ("herb:h", "dosha:v", "REDUCES", [7, 9], 2), ("herb:x", "dosha:p", "REDUCES", [1], 1)], "a string, b string, relation string, chunks array<int>, weight long")
+    graph = spark.createDataFrame([("herb:h", "dosha:v", "co-mentioned", [5, 7], 2), ("herb:h", "dosha:v", "REDUCES", [7, 9], 2), ("herb:x", "dosha:p", "REDUCES", [1], 1)], "a string, b string, relation string, chunks array<int>, weight long")
     found = spark.createDataFrame([(1, "herb:h", 0), (1, "dosha:v", 1)], "question int, entity string, place int")
     items = hybrid.graph_items(found, graph)
-    assert rows(items, "rank", "relation") == [(1, "REDUCES"), (2, "co_mentioned")]
+    assert rows(items, "rank", "relation") == [(1, "REDUCES"), (2, "co-mentioned")]
     assert rows(hybrid.provenance_ranking(items), "rank", "id") == [(1, 7), (2, 9), (3, 5)]
 
 
