@@ -22,6 +22,7 @@ from .textkit import SPACE, column, slices, utf8
 
 BITS = 16
 SAMPLE = 3000  # rows of a language that are learned from, at most
+PARTS = 16
 UNDETERMINED = "und"
 
 
@@ -115,13 +116,17 @@ def train(docs: DataFrame, most: int = SAMPLE, dim: int = 16, epochs: int = 4, s
             yield pa.RecordBatch.from_arrays([column(batch, "lang").take(pa.array([o[0] for o in out], pa.int64())), column(batch, "h").take(pa.array([o[0] for o in out], pa.int64())), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], names=["lang", "h", "buckets", "shares"])
 
     found = materialize(drawn.mapInArrow(lean(run), "lang string, h long, buckets binary, shares binary").dropDuplicates(["h", "lang"]), "language_rows")
-    got = found.orderBy("h", "lang").limit(2 * most * len(total)).toArrow()
-    names = sorted(set(got.column("lang").to_pylist()))
+    langs: list[str] = []
+    own: list[tuple[np.ndarray, np.ndarray]] = []
+    for i in range(PARTS):  # about `most` rows a language in all, a part at a time through the JVM
+        got = found.where(F.pmod("h", F.lit(PARTS)) == i).toArrow().sort_by([("h", "ascending"), ("lang", "ascending")])
+        langs += got.column("lang").to_pylist()
+        own += [(np.frombuffer(b.as_buffer(), "<u2"), np.frombuffer(s.as_buffer(), "<f4")) for b, s in zip(got.column("buckets"), got.column("shares"), strict=True)]
+    names = sorted(set(langs))
     if not names:
         return LanguageModel([], np.zeros((1 << BITS, 0), np.float32), np.zeros(0), 1.0, 0.0)
     index = {n: i for i, n in enumerate(names)}
-    y = np.array([index[x] for x in got.column("lang").to_pylist()])
-    own = [(np.frombuffer(b.as_buffer(), "<u2"), np.frombuffer(s.as_buffer(), "<f4")) for b, s in zip(got.column("buckets"), got.column("shares"), strict=True)]
+    y = np.array([index[x] for x in langs])
     held = np.arange(len(y)) % 8 == 0 if len(y) >= 80 else np.zeros(len(y), bool)
     learn = np.flatnonzero(~held)
     table, bias = _fit([own[i] for i in learn], y[learn], len(names), dim, epochs, seed)
