@@ -91,12 +91,13 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
     return got, sizes
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, terms: int = 600, k: int = 8, epochs: int = 250, seed: int = 7) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, terms: int = 600, k: int = 8, epochs: int = 250, seed: int = 7, shrink: float = 3e-3) -> FactorizationMachine:
     """Learn from docs (doc_id, text; other columns are ignored) and labels (doc_id, `label` 0 or 1; others are left out).
 
     Without rows of both classes every text scores the share of ones, or 0 without labelled rows.  A null id is no
     labelled row; a null or empty text has no terms.  An id with both labels has label 1; of an id's several texts one
     is learned from, the same in every run.  At most `most` labelled rows of a class are learned from, whole texts each.
+    shrink: penalty on the interaction vectors, without which few rows are learned by heart.
     """
     got, sizes = _sample(docs, labels, label, most)
     y = got.column("y").to_numpy().astype(np.float64)
@@ -143,7 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
         z = b[0] + x @ w.astype(np.float32) + 0.5 * ((s * s).sum(1) - x @ (v32 * v32).sum(1))
         g = weight_of * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32)
         xg = x.T @ g
-        grads = [np.array([g.sum()]), xg + 1e-6 * w, x.T @ (g[:, None] * s) - xg[:, None] * v + 1e-5 * v]
+        grads = [np.array([g.sum()]), xg + 1e-6 * w, x.T @ (g[:, None] * s) - xg[:, None] * v + shrink * v]
         for i, d in enumerate(grads):
             m1[i] = 0.9 * m1[i] + 0.1 * d
             m2[i] = 0.999 * m2[i] + 0.001 * d * d
