@@ -1,8 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words and their first bytes (stems of inflected insults), hashed to 2**22 buckets.  From a bounded
-sample of labelled rows the buckets that tell the classes apart are chosen, each at three levels of its count in a
-text.  The machine learns a weight for each and a vector for pairwise interactions, which raise a term that is harmless
+sample of labelled rows the buckets that tell the classes apart, alone or where another one occurs, are learned, each at
+three levels of its count in a text.  The machine learns a weight for each and a vector for pairwise interactions, which raise a term that is harmless
 alone and lower one that other terms explain.
 """
 
@@ -91,60 +91,81 @@ def _sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> tuple[
     return got, sizes
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, terms: int = 600, k: int = 8, epochs: int = 250, seed: int = 7, shrink: float = 3e-3) -> FactorizationMachine:
-    """Learn from docs (doc_id, text; other columns are ignored) and labels (doc_id, `label` 0 or 1; others are left out).
-
-    Without rows of both classes every text scores the share of ones, or 0 without labelled rows.  A null id is no
-    labelled row; a null or empty text has no terms.  An id with both labels has label 1; of an id's several texts one
-    is learned from, the same in every run.  At most `most` labelled rows of a class are learned from, whole texts each.
-    shrink: penalty on the interaction vectors, without which few rows are learned by heart.
-    """
-    got, sizes = _sample(docs, labels, label, most)
-    y = got.column("y").to_numpy().astype(np.float64)
-    if not len(y) or y.min() == y.max():
-        share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-        return FactorizationMachine(np.zeros(0, np.int64), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), np.zeros((0, len(LEVELS))), np.zeros((0, len(LEVELS), k)))
-    buckets = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("terms")]
-    counts = [np.frombuffer(x.as_buffer(), "u1") for x in got.column("counts")]
-    row = np.repeat(np.arange(len(y)), [len(x) for x in buckets])
-    bucket, count = np.concatenate(buckets).astype(np.int64), np.concatenate(counts)
-    del buckets, counts
-    # likelihood ratio of a bucket's presence against the class
-    one = np.bincount(bucket[y[row] == 1], minlength=1 << BITS).astype(float)
-    zero = np.bincount(bucket[y[row] == 0], minlength=1 << BITS).astype(float)
-    n1, n0 = y.sum(), (1 - y).sum()
-    seen = np.flatnonzero(one + zero >= 4)
-    a, c = one[seen], zero[seen]
+def likelihood_ratio(a: np.ndarray, c: np.ndarray, n1: float, n0: float) -> np.ndarray:
+    """Half the G2 of the class against a presence that a of n1 and c of n0 rows have."""
 
     def part(x: np.ndarray, expected: np.ndarray) -> np.ndarray:
         return np.where(x > 0, x * np.log(np.maximum(x, 1e-9) / np.maximum(expected, 1e-9)), 0)
 
     p = (a + c) / (n1 + n0)
-    g2 = part(a, p * n1) + part(c, p * n0) + part(n1 - a, (1 - p) * n1) + part(n0 - c, (1 - p) * n0)
-    chosen = np.sort(seen[np.lexsort((seen, -g2))[:terms]])
-    del one, zero
-    place = np.full(1 << BITS, -1, np.int32)
-    place[chosen] = np.arange(len(chosen))
-    on = place[bucket] >= 0
-    row, term, count = row[on], place[bucket[on]], count[on]
+    return part(a, p * n1) + part(c, p * n0) + part(n1 - a, (1 - p) * n1) + part(n0 - c, (1 - p) * n0)
+
+
+def term_evidence(row: np.ndarray, term: np.ndarray, y: np.ndarray, terms: int, own: float, joint: float) -> np.ndarray:
+    """What each term tells of the class: alone, or among the rows that hold another one.
+
+    A term's own likelihood ratio counts from `own` on.  Each term that reaches it with 8 rows or more is an anchor: in
+    the rows that hold an anchor all other terms are held against the class again, and what reaches `joint` counts, as
+    many pairs are tried.  So a term that is as frequent in both classes enters with the one that it interacts with.
+    """
+    one = y[row] == 1
+    a, c = np.bincount(term[one], minlength=terms).astype(float), np.bincount(term[~one], minlength=terms).astype(float)
+    alone = likelihood_ratio(a, c, y.sum(), (1 - y).sum())
+    evidence = np.where((alone >= own) & (a + c >= 4), alone, 0)
+    begin = np.searchsorted(row, np.arange(len(y) + 1))
+    anchor = (evidence > 0) & (a + c >= 8)
+    at = np.flatnonzero(anchor[term])
+    at = at[np.argsort(term[at], kind="stable")]
+    for rows in np.split(row[at], np.flatnonzero(np.diff(term[at])) + 1) if len(at) else ():
+        ones, n = y[rows].sum(), len(rows)
+        if not 0 < ones < n:
+            continue
+        held = np.concatenate([term[begin[i] : begin[i + 1]] for i in rows])
+        is_one = np.repeat(y[rows] == 1, begin[rows + 1] - begin[rows])
+        found, back = np.unique(held, return_inverse=True)
+        with_one = np.bincount(back[is_one], minlength=len(found)).astype(float)
+        ratio = likelihood_ratio(with_one, np.bincount(back, minlength=len(found)) - with_one, ones, n - ones)
+        good = ratio >= joint
+        evidence[found[good]] = np.maximum(evidence[found[good]], ratio[good] - joint + own)
+    return evidence
+
+
+def _sums(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.argsort(at, kind="stable")
+    return order, *np.unique(at[order], return_index=True)
+
+
+def fit(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, y: np.ndarray, weight_of: np.ndarray, bias: float, k: int, epochs: int, seed: int, shrink: float, own: float, joint: float) -> FactorizationMachine:
+    """The machine of (row, bucket, count) triples in order of row, the rows' classes and weights that sum to 1.
+
+    All buckets are tried; those with evidence are learned, the less they have the closer to 0 (penalties grow with the
+    square of 20 / evidence).  Interactions are computed on the terms that a row holds, so cost grows with these alone.
+    """
+    seen, term = np.unique(bucket, return_inverse=True)
+    evidence = term_evidence(row, term, y, len(seen), own, joint)
+    place = np.cumsum(evidence > 0) - 1
+    on = evidence[term] > 0
+    row, term, count = row[on], place[term[on]], count[on]
+    chosen, evidence = seen[evidence > 0], evidence[evidence > 0]
     width = len(chosen) * len(LEVELS)
-    x = np.zeros((len(y), width), np.float32)
-    for j, least in enumerate(LEVELS):
-        x[row[count >= least], term[count >= least] * len(LEVELS) + j] = 1
-    weight_of = np.where(y == 1, sizes[1] / n1, sizes[0] / n0).astype(np.float32)
-    weight_of /= weight_of.sum()
+    of = np.concatenate([row[count >= n] for n in LEVELS])
+    cell = np.concatenate([term[count >= n] * len(LEVELS) + j for j, n in enumerate(LEVELS)])
+    (row_order, row_at, row_from), (cell_order, cell_at, cell_from) = _sums(of), _sums(cell)
+    cells, rows = cell[row_order], of[cell_order]
+    penalty = np.repeat(np.maximum((20 / evidence) ** 2, 1), len(LEVELS))
     rng = np.random.default_rng(seed)
-    w0 = float(np.log(sizes[1] / sizes[0]))
-    params = [np.array([w0]), np.zeros(width), rng.normal(0, 0.05, (width, k))]
+    params = [np.array([bias]), np.zeros(width), rng.normal(0, 0.05, (width, k))]
     m1, m2 = [np.zeros_like(v) for v in params], [np.zeros_like(v) for v in params]
-    for t in range(1, epochs + 1):
+    by_row, by_cell = np.zeros((len(y), k + 2), np.float32), np.zeros((width, k + 1), np.float32)
+    for t in range(1, epochs + 1 if width else 1):
         b, w, v = params
-        v32 = v.astype(np.float32)
-        s = x @ v32
-        z = b[0] + x @ w.astype(np.float32) + 0.5 * ((s * s).sum(1) - x @ (v32 * v32).sum(1))
-        g = weight_of * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y).astype(np.float32)
-        xg = x.T @ g
-        grads = [np.array([g.sum()]), xg + 1e-6 * w, x.T @ (g[:, None] * s) - xg[:, None] * v + shrink * v]
+        by_row[row_at] = np.add.reduceat(np.column_stack([v, (v * v).sum(1), w]).astype(np.float32)[cells], row_from, axis=0)
+        s = by_row[:, :k]
+        z = b[0] + by_row[:, k + 1] + 0.5 * ((s * s).sum(1) - by_row[:, k])
+        g = (weight_of * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
+        by_cell[cell_at] = np.add.reduceat(np.column_stack([g[:, None] * s, g])[rows], cell_from, axis=0)
+        xg = by_cell[:, k]
+        grads = [np.array([g.sum()]), xg + 1e-4 * penalty * w, by_cell[:, :k] + (shrink * penalty - xg)[:, None] * v]
         for i, d in enumerate(grads):
             m1[i] = 0.9 * m1[i] + 0.1 * d
             m2[i] = 0.999 * m2[i] + 0.001 * d * d
@@ -153,11 +174,35 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int =
     return FactorizationMachine(chosen, float(b[0]), w.reshape(-1, len(LEVELS)), v.reshape(-1, len(LEVELS), k))
 
 
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, k: int = 8, epochs: int = 250, seed: int = 7, shrink: float = 3e-3, own: float = 3.0, joint: float = 24.0) -> FactorizationMachine:
+    """Learn from docs (doc_id, text; other columns are ignored) and labels (doc_id, `label` 0 or 1; others are left out).
+
+    Without rows of both classes every text scores the share of ones, or 0 without labelled rows.  A null id is no
+    labelled row; a null or empty text has no terms.  An id with both labels has label 1; of an id's several texts one
+    is learned from, the same in every run.  At most `most` labelled rows of a class are learned from, whole texts each.
+    shrink: penalty on the interaction vectors, without which few rows are learned by heart.  own, joint: see
+    `term_evidence`; no number of terms is set.
+    """
+    got, sizes = _sample(docs, labels, label, most)
+    y = got.column("y").to_numpy().astype(np.float64)
+    if not len(y) or y.min() == y.max():
+        share = sizes.get(1, 0) / max(1, sum(sizes.values()))
+        return FactorizationMachine(np.zeros(0, np.int64), float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))), np.zeros((0, len(LEVELS))), np.zeros((0, len(LEVELS), k)))
+    buckets = [np.frombuffer(x.as_buffer(), "<i4") for x in got.column("terms")]
+    counts = [np.frombuffer(x.as_buffer(), "u1") for x in got.column("counts")]
+    row = np.repeat(np.arange(len(y)), [len(x) for x in buckets])
+    bucket, count = np.concatenate(buckets), np.concatenate(counts)
+    del got, buckets, counts
+    weight_of = np.where(y == 1, sizes[1] / y.sum(), sizes[0] / (1 - y).sum())
+    return fit(row, bucket, count, y, weight_of / weight_of.sum(), float(np.log(sizes[1] / sizes[0])), k, epochs, seed, shrink, own, joint)
+
+
 def toxicity_scores(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text: Column | str = "text") -> DataFrame:
     """doc_id, score (0 to 1), predicted (score >= 0.5) of each row.
 
     A null or empty text has no terms and gets the score of none.  Repeated rows score alike; an empty table gives no
-    rows; other columns are ignored.  The model has a fixed number of terms and goes along with the function.
+    rows; other columns are ignored.  The model's terms come from the bounded sample and go
+    along with the function.
     """
     text = F.col(text) if isinstance(text, str) else text
 
