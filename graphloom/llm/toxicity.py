@@ -104,7 +104,7 @@ def likelihood_ratio(a: np.ndarray, c: np.ndarray, n1: float, n0: float) -> np.n
 def term_evidence(row: np.ndarray, term: np.ndarray, y: np.ndarray, terms: int, own: float, joint: float) -> np.ndarray:
     """What each term tells of the class: alone, or among the rows that hold another one.
 
-    A term's own likelihood ratio counts from `own` on.  Each term that reaches it with 8 rows or more is an anchor: in
+    A term's own likelihood ratio counts from `own` on.  Each that reaches `joint` with 8 rows or more is an anchor: in
     the rows that hold an anchor all other terms are held against the class again, and what reaches `joint` counts, as
     many pairs are tried.  So a term that is as frequent in both classes enters with the one that it interacts with.
     """
@@ -113,7 +113,7 @@ def term_evidence(row: np.ndarray, term: np.ndarray, y: np.ndarray, terms: int,
     alone = likelihood_ratio(a, c, y.sum(), (1 - y).sum())
     evidence = np.where((alone >= own) & (a + c >= 4), alone, 0)
     begin = np.searchsorted(row, np.arange(len(y) + 1))
-    anchor = (evidence > 0) & (a + c >= 8)
+    anchor = (evidence >= joint) & (a + c >= 8)
     at = np.flatnonzero(anchor[term])
     at = at[np.argsort(term[at], kind="stable")]
     for rows in np.split(row[at], np.flatnonzero(np.diff(term[at])) + 1) if len(at) else ():
@@ -169,12 +169,12 @@ def fit(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, y: np.ndarray, w
         for i, d in enumerate(grads):
             m1[i] = 0.9 * m1[i] + 0.1 * d
             m2[i] = 0.999 * m2[i] + 0.001 * d * d
-            params[i] = params[i] - 0.03 * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.999**t)) + 1e-8)
+            params[i] = params[i] - 0.08 * (m1[i] / (1 - 0.9**t)) / (np.sqrt(m2[i] / (1 - 0.999**t)) + 1e-8)
     b, w, v = params
     return FactorizationMachine(chosen, float(b[0]), w.reshape(-1, len(LEVELS)), v.reshape(-1, len(LEVELS), k))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, k: int = 8, epochs: int = 250, seed: int = 7, shrink: float = 3e-3, own: float = 3.0, joint: float = 24.0) -> FactorizationMachine:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = SAMPLE, k: int = 8, epochs: int = 100, seed: int = 7, shrink: float = 3e-3, own: float = 6.0, joint: float = 24.0) -> FactorizationMachine:
     """Learn from docs (doc_id, text; other columns are ignored) and labels (doc_id, `label` 0 or 1; others are left out).
 
     Without rows of both classes every text scores the share of ones, or 0 without labelled rows.  A null id is no

@@ -536,24 +536,24 @@ def test_language(spark, none):
 
 def test_toxicity_learns_a_pair_whose_terms_tell_little_alone():
     """A mention as frequent in both classes, among more terms that lean to a class by chance than a short list holds."""
-    rng, n = np.random.default_rng(1), 2000
+    rng, n = np.random.default_rng(1), 6000
     kind = rng.choice(5, n, p=(0.2, 0.2, 0.2, 0.3, 0.1))  # insult and mention, insult alone, another insult, mention alone, neither
     toxic, held = (kind == 0) | (kind == 2), ((1, 2), (1,), (3,), (2,), ())
     terms = [np.unique([*rng.integers(10, 20000, 60), *held[i]]) for i in kind]
     y, half = toxic.astype(float), n // 2
     row, bucket = np.repeat(np.arange(n), [len(x) for x in terms]), np.concatenate(terms)
     learn = row < half
-    model = toxicity.fit(row[learn], bucket[learn], np.ones(learn.sum(), int), y[:half], np.full(half, 1 / half), 0.0, 8, 250, 7, 3e-3, 3.0, 24.0)
+    model = toxicity.fit(row[learn], bucket[learn], np.ones(learn.sum(), int), y[:half], np.full(half, 1 / half), 0.0, 8, 100, 7, 3e-3, 6.0, 24.0)
     on = np.isin(bucket, model.terms)
     got = model.scores(row[on], np.searchsorted(model.terms, bucket[on]), np.ones(on.sum(), int), n) >= 0.5
     assert {1, 2} <= set(model.terms) and (got[half:] != toxic[half:]).mean() < 0.01
     where = np.unique(bucket[learn], return_inverse=True)
-    alone, paired = (toxicity.term_evidence(row[learn], where[1], y[:half], len(where[0]), 3.0, joint) for joint in (np.inf, 24.0))
+    alone, paired = (toxicity.term_evidence(row[learn], where[1], y[:half], len(where[0]), 6.0, joint) for joint in (np.inf, 24.0))
     assert alone[where[0] == 2] == 0 and paired[where[0] == 2] > 20
 
 
 def test_toxicity_without_terms_that_tell():
-    model = toxicity.fit(np.arange(8), np.arange(8), np.ones(8, int), np.array([0, 1] * 4), np.full(8, 0.125), -1.0, 8, 250, 7, 3e-3, 3.0, 24.0)
+    model = toxicity.fit(np.arange(8), np.arange(8), np.ones(8, int), np.array([0, 1] * 4), np.full(8, 0.125), -1.0, 8, 100, 7, 3e-3, 6.0, 24.0)
     assert len(model.terms) == 0 and model.scores(np.zeros(0, int), np.zeros(0, int), np.zeros(0, int), 2) == pytest.approx([1 / (1 + np.e)] * 2)
 
 
