@@ -156,16 +156,18 @@ def fit(row: np.ndarray, bucket: np.ndarray, count: np.ndarray, y: np.ndarray, w
     rng = np.random.default_rng(seed)
     params = [np.array([bias]), np.zeros(width), rng.normal(0, 0.05, (width, k))]
     m1, m2 = [np.zeros_like(v) for v in params], [np.zeros_like(v) for v in params]
-    by_row, by_cell = np.zeros((len(y), k + 2), np.float32), np.zeros((width, k + 1), np.float32)
+    by_row, by_cell = np.zeros((k + 2, len(y)), np.float32), np.zeros((k + 1, width), np.float32)
     for t in range(1, epochs + 1 if width else 1):
         b, w, v = params
-        by_row[row_at] = np.add.reduceat(np.column_stack([v, (v * v).sum(1), w]).astype(np.float32)[cells], row_from, axis=0)
-        s = by_row[:, :k]
-        z = b[0] + by_row[:, k + 1] + 0.5 * ((s * s).sum(1) - by_row[:, k])
+        for j, x in enumerate(np.vstack([v.T, (v * v).sum(1), w]).astype(np.float32)):
+            by_row[j, row_at] = np.add.reduceat(x[cells], row_from)
+        s = by_row[:k]
+        z = b[0] + by_row[k + 1] + 0.5 * ((s * s).sum(0) - by_row[k])
         g = (weight_of * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)).astype(np.float32)
-        by_cell[cell_at] = np.add.reduceat(np.column_stack([g[:, None] * s, g])[rows], cell_from, axis=0)
-        xg = by_cell[:, k]
-        grads = [np.array([g.sum()]), xg + 1e-4 * penalty * w, by_cell[:, :k] + (shrink * penalty - xg)[:, None] * v]
+        for j, x in enumerate(np.vstack([g * s, g])):
+            by_cell[j, cell_at] = np.add.reduceat(x[rows], cell_from)
+        xg = by_cell[k]
+        grads = [np.array([g.sum()]), xg + 1e-4 * penalty * w, by_cell[:k].T + (shrink * penalty - xg)[:, None] * v]
         for i, d in enumerate(grads):
             m1[i] = 0.9 * m1[i] + 0.1 * d
             m2[i] = 0.999 * m2[i] + 0.001 * d * d
