@@ -65,6 +65,32 @@ def assay_edges(rows: DataFrame, names: DataFrame, source: str = "TDC Carbon-Man
     return found.select(kind.alias("etype"), F.col("id").alias("src"), F.concat(F.lit("gene:"), "gene").alias("dst"), F.lit(source).alias("source")).distinct()
 
 
+def supplement_edges(rows: DataFrame, names: DataFrame, source: str = "curated literature") -> DataFrame:
+    """(drug, enzyme) by way of (key, id) to src, dst, source; a drug that no key names is an error, never left out."""
+    found = rows.withColumn("key", F.upper(F.trim("drug"))).join(names, "key", "left")
+    unknown = F.raise_error(F.concat(F.lit("drug out of scope: "), F.coalesce("drug", F.lit("null"))))
+    return found.select(F.when(F.col("id").isNull(), unknown).otherwise(F.col("id")).alias("src"), F.concat(F.lit("gene:"), F.upper(F.trim("enzyme"))).alias("dst"), F.lit(source).alias("source"))
+
+
+def strided_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n of every (rows / n)-th row by key, from the first on; key is unique.
+
+    Sampling is the feature.  Places come from counts of key ranges, so no task sorts all rows.
+    """
+    step = max(1, rows.count() // n)
+    return numbered(rows, key, "__place").where((F.col("__place") % step == 0) & (F.col("__place") < n * step)).drop("__place")
+
+
+def numbered(rows: DataFrame, key: str, out: str, ranges: int = 64) -> DataFrame:
+    """rows with their place (from 0) by key; `ranges` key ranges are sorted each on its own and begin after those before them."""
+    bounds = rows.agg(F.percentile_approx(key, [i / ranges for i in range(1, ranges)], 10000).alias("b")).first()["b"] or []
+    edges = F.array(*[F.lit(b) for b in sorted(set(bounds))]) if bounds else F.array().cast("array<long>")
+    cut = rows.withColumn("__range", F.size(F.filter(edges, lambda b: b < F.col(key))))
+    sizes = cut.groupBy("__range").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return cut.withColumn("__own", own).join(F.broadcast(sizes.select("__range", "before")), "__range").withColumn(out, F.col("__own") + F.col("before")).drop("__range", "__own", "before")
+
+
 def pair_scores(risk: DataFrame) -> DataFrame:
     """(herb, drug, risk, ...) with percentile_for_drug and percentile_overall: shares of risks that aren't above."""
     return with_percentiles(with_percentiles(risk, "risk", at_most="percentile_for_drug", by=["drug"]), "risk", at_most="percentile_overall")

@@ -148,3 +148,14 @@ def label_histogram(t: Tables) -> DataFrame:
    from (select lang, len(list_filter(string_split_regex(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '')) n from documents) group by 1""")
 def text_statistics(t: Tables) -> DataFrame:
     return records.text_statistics(t.documents, "lang")
+
+
+@query("""select n_nationkey src, 'gene:' || upper(c_mktsegment) dst, 'curated literature' source from customer join nation on c_nationkey = n_nationkey""")
+def supplement_edges(t: Tables) -> DataFrame:
+    rows = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.concat(F.lit(" "), F.lower("n_name")).alias("drug"), F.lower("c_mktsegment").alias("enzyme"))
+    return records.supplement_edges(rows, t.nation.select(F.upper("n_name").alias("key"), F.col("n_nationkey").alias("id")))
+
+
+@query("""select c_custkey, c_nationkey from (select *, row_number() over (order by c_custkey) - 1 i, greatest(1, count(*) over () // 60) step from customer) where i % step = 0 and i < 60 * step""")
+def strided_sample(t: Tables) -> DataFrame:
+    return records.strided_sample(t.customer.select("c_custkey", "c_nationkey"), "c_custkey", 60)

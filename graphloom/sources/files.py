@@ -27,10 +27,32 @@ def save_graph(tables: dict[str, DataFrame], path: str) -> None:
         df.write.mode("overwrite").parquet(f"{path}/{name}")
 
 
-def load_graph(spark: SparkSession, path: str, names: list[str]) -> dict[str, DataFrame]:
+def load_graph(spark: SparkSession, path: str, names: list[str] | None = None) -> dict[str, DataFrame]:
+    """The named tables below path; without names all that are called nodes_* or edges_*, in order."""
+    if names is None:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        found = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+        names = sorted(n for n in (f.getPath().getName() for f in found) if n.startswith(("nodes_", "edges_")))
     return {n: spark.read.parquet(f"{path}/{n}") for n in names}
 
 
+def read_gold(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Curated rows of a file with a header, all as text (ids of papers too); an empty cell is ''."""
+    return spark.read.csv(path, header=True, schema=", ".join(f"`{c}` string" for c in columns)).na.fill("")
+
+
+#: Fixed format: names of prediction files.
+PREDICTIONS = r"\A(cold_compound|cold_herb|cold_drug|random_pair)_([a-z_]+)_s(\d+)_f(\d+)\.parquet\z"
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of prediction files with split, model, seed and fold from the file's name; another name is an error."""
+    name = F.col("_metadata.file_name")
+    part = lambda i: F.regexp_extract(name, PREDICTIONS, i)
+    split = F.when(name.rlike(PREDICTIONS), part(1)).otherwise(F.raise_error(F.concat(F.lit("not a prediction file: "), name)))
+    return spark.read.parquet(path).select("*", split.alias("split"), part(2).alias("model"), part(3).cast("int").alias("seed"), part(4).cast("int").alias("fold"))
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """file, size, sha256 of each file under path."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))

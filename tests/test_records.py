@@ -3,11 +3,13 @@
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import metrics, text
 from graphloom.operators import compose, graph, labels, records, triples
+from graphloom.sources import files
 
 
 def rows(df, *columns):
@@ -121,3 +123,31 @@ def test_phrases_in_passages(spark):
     cases = [("dry cough", "A dry \n cough.", True), ("cough", "coughing", False), ("Vāta", "vata!", True), ("long-pepper", "Long pepper", True), ("", "x", False), ("a.b", "a b", False), ("a.b", "see a.b", True)]
     got = spark.createDataFrame([(i, *c[:2]) for i, c in enumerate(cases)], "i int, p string, t string").select("i", triples.phrase_in(F.col("p"), F.col("t")).alias("x")).collect()
     assert {r["i"]: r["x"] for r in got} == {i: c[2] for i, c in enumerate(cases)}
+
+
+def test_saved_graphs_gold_and_predictions_are_found(spark, tmp_path):
+    make = spark.createDataFrame
+    files.save_graph({"nodes_Herb": make([("h",)], "id string"), "edges_has": make([("h", "c")], "src string, dst string"), "other": make([(1,)], "x int")}, f"{tmp_path}/g")
+    assert list(files.load_graph(spark, f"{tmp_path}/g")) == ["edges_has", "nodes_Herb"]
+    (tmp_path / "gold.csv").write_text("herb,pmid\nh,0123\ng,\n")
+    assert rows(files.read_gold(spark, f"{tmp_path}/gold.csv", ["herb", "pmid"]), "herb", "pmid") == [("g", ""), ("h", "0123")]
+    (tmp_path / "p").mkdir()
+    for seed, p in ((0, 0.25), (1, 0.75)):
+        pd.DataFrame({"compound": ["c"], "drug": ["d"], "label": [1], "p": [p]}).to_parquet(tmp_path / f"p/cold_drug_random_forest_s{seed}_f3.parquet")
+    found = files.read_predictions(spark, f"{tmp_path}/p")
+    assert rows(found, "split", "model", "seed", "fold", "p") == [("cold_drug", "random_forest", 0, 3, 0.25), ("cold_drug", "random_forest", 1, 3, 0.75)]
+    pd.DataFrame({"compound": ["c"], "drug": ["d"], "label": [1], "p": [0.1]}).to_parquet(tmp_path / "p/warm_prior_s0_f0.parquet")
+    with pytest.raises(Exception, match="not a prediction file"):
+        files.read_predictions(spark, f"{tmp_path}/p").collect()
+
+
+def test_supplement_knows_every_drug_and_samples_have_strides(spark):
+    names = spark.createDataFrame([("WARFARIN", "drug:w")], "key string, id string")
+    got = records.supplement_edges(spark.createDataFrame([(" Warfarin", "cyp2c9 ")], "drug string, enzyme string"), names)
+    assert rows(got, "src", "dst", "source") == [("drug:w", "gene:CYP2C9", "curated literature")]
+    with pytest.raises(Exception, match="out of scope: other"):
+        records.supplement_edges(spark.createDataFrame([("other", "x")], "drug string, enzyme string"), names).collect()
+    for count, n in ((0, 3), (2, 3), (10, 3), (1000, 7)):
+        ids = [7 * i % 1009 for i in range(count)]
+        want = sorted(ids)[:: max(1, count // n)][:n]
+        assert rows(records.strided_sample(spark.createDataFrame([(i,) for i in ids], "id long"), "id", n), "id") == [(i,) for i in want]
