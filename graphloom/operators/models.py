@@ -11,7 +11,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labels import CYP5, assign_folds, prior_scores, with_percentiles
+from .labels import CYP5, assign_folds, by_pattern, prior_scores, with_percentiles
 
 #: Levels that an interaction profile counts, before its total.
 PROFILE = ["Major", "Moderate", "Minor"]
@@ -238,8 +238,9 @@ def out_of_fold(pairs: DataFrame, learner: FitPredict, k: int = 5, seed: int = 0
 
 def herb_drug_risk(scored: DataFrame, contains: DataFrame) -> DataFrame:
     """(herb, drug, risk, n_compounds): mean p of a herb's compounds, each counted equally."""
-    rows = contains.select(F.col("src").alias("herb"), F.col("dst").alias("compound")).join(scored, "compound")
-    return rows.groupBy("herb", "drug").agg(F.avg("p").alias("risk"), F.count_distinct("compound").alias("n_compounds"))
+    rows = by_pattern(contains, scored, "p")
+    known = F.when(F.col("value").isNotNull(), F.col("m"))
+    return rows.groupBy("herb", "drug").agg((F.sum(F.col("value") * F.col("m")) / F.nullif(F.sum(known), F.lit(0))).alias("risk"), F.sum("n").alias("n_compounds"))
 
 
 def model_scores(scored: DataFrame, contains: DataFrame, gold: DataFrame) -> DataFrame:
