@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .retrieval import cosine_top_k, reciprocal_rank_fusion, top_k
 
 CO = "co-mentioned"
+MOST_SURFACES = 2**18  # surfaces of a lexicon that are broadcast
 
 
 def _base_characters() -> tuple[str, str]:
@@ -40,16 +41,20 @@ def usable_surfaces(lexicon: DataFrame) -> DataFrame:
 def linked_phrases(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(doc_id, text) to (doc_id, entity, place, words): left to right, the longest phrase first, without overlaps.
 
-    Runs of as many words as the surfaces have, one row each and no row with more of its text, meet the lexicon in a join,
-    so neither side needs to fit in a task; a fold over the hits of one text drops those that start within a longer or
-    earlier one.
+    Runs of as many words as the surfaces have, one row each and no row with more of its text, meet the lexicon in a join.
+    Up to MOST_SURFACES surfaces are broadcast, so runs that no surface has never reach a shuffle; beyond, neither side
+    needs to fit in a task.  A fold over the hits of one text drops those that start within a longer or earlier one.
     """
-    sizes = [r[0] for r in usable_surfaces(lexicon).select(F.size(F.split("surface", " "))).distinct().collect()]  # numbers of words, not surfaces
+    counts = usable_surfaces(lexicon).groupBy(F.size(F.split("surface", " ")).alias("words")).count().collect()  # numbers of words, not surfaces
+    sizes = [r["words"] for r in counts]
+    surfaces = usable_surfaces(lexicon)
+    if sum(r["count"] for r in counts) <= MOST_SURFACES:
+        surfaces = F.broadcast(surfaces)
     words = F.filter(F.split(folded(F.col("text")), " "), lambda w: w != "")
     run = lambda i, n: F.struct(n.alias("words"), F.array_join(F.slice("w", i + 1, n), " ").alias("surface"))
     runs = F.transform("w", lambda x, i: F.transform(F.filter(F.array(*map(F.lit, sizes)).cast("array<int>"), lambda n: n <= F.size("w") - i), lambda n: run(i, n)))
     at = docs.select("doc_id", words.alias("w")).select("doc_id", F.posexplode(runs).alias("place", "runs"))
-    hits = at.select("doc_id", "place", F.inline("runs")).join(usable_surfaces(lexicon), "surface")
+    hits = at.select("doc_id", "place", F.inline("runs")).join(surfaces, "surface")
     best = hits.groupBy("doc_id", "place").agg(F.max_by(F.struct("words", "entity"), "words").alias("hit"))
     row = F.struct("place", F.col("hit.words").alias("words"), F.col("hit.entity").alias("entity"))
     start = F.struct(F.lit(0).alias("free"), F.array().cast("array<struct<place:int,words:int,entity:string>>").alias("kept"))

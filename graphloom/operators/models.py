@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .labels import CYP5, assign_folds, by_pattern, prior_scores, with_percentiles
@@ -255,9 +255,13 @@ def model_scores(scored: DataFrame, contains: DataFrame, gold: DataFrame) -> Dat
 
 def random_shares(keys: DataFrame, by: list[str], member: str, seeds: int = 5) -> DataFrame:
     """(by, member, seed, share): flat Dirichlet draws per group and seed from a hash of the names, the same every run."""
-    rows = keys.select(*by, member).distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    text = F.concat_ws("|", F.col("seed").cast("string"), *[F.col(c).cast("string") for c in by], F.col(member).cast("string"))
-    u = (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
-    rows = rows.withColumn("e", -F.ln(u))
-    total = rows.groupBy(*by, "seed").agg(F.sum("e").alias("t"))
-    return rows.join(total, [*by, "seed"]).select(*by, member, "seed", (F.col("e") / F.col("t")).alias("share"))
+    spark = keys.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = keys.select(*by, member).repartition(tasks, *by).distinct()  # the only shuffle; seeds are columns up to the end
+    text = lambda s: F.concat_ws("|", F.lit(str(s)), *[F.col(c).cast("string") for c in by], F.col(member).cast("string"))
+    u = lambda s: (F.conv(F.substring(F.md5(text(s)), 1, 12), 16, 10).cast("double") + 0.5) / float(16**12)
+    rows = rows.select(*by, member, *[(-F.ln(u(s))).alias(f"__e{s}") for s in range(seeds)])
+    own = Window.partitionBy(*by)
+    rows = rows.withColumns({f"__t{s}": F.sum(f"__e{s}").over(own) for s in range(seeds)})
+    drawn = F.array(*[F.struct(F.lit(s).alias("seed"), (F.col(f"__e{s}") / F.col(f"__t{s}")).alias("share")) for s in range(seeds)])
+    return rows.select(*by, member, F.inline(drawn))
