@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shuffles
 from .labels import with_percentiles
 from .retrieval import top_k
 
@@ -21,7 +22,8 @@ def formulation_records(ingredients: DataFrame, lookup: DataFrame) -> DataFrame:
     Ingredients are looked up in small letters; a formulation without ingredients has no row.  in_scope is one
     formulation's list, a handful of names.
     """
-    found = ingredients.withColumn("key", F.lower("ingredient")).join(lookup, "key", "left")
+    found = ingredients.withColumn("key", F.lower("ingredient")).join(lookup, "key", "left").select("formulation", "place", "herb")
+    found = found.repartition(shuffles.tasks(ingredients), "formulation")  # nothing to combine before; each task's lists stay few
     listed = F.array_sort(F.collect_list(F.when(F.col("herb").isNotNull(), F.struct("place", "herb"))))
     out = found.groupBy("formulation").agg(F.count("*").alias("n_ingredients"), F.transform(listed, lambda x: x["herb"]).alias("in_scope"))
     return out.withColumn("n_in_scope", F.size(F.array_distinct("in_scope"))).withColumn("optimisable", F.col("n_in_scope") >= 2)

@@ -2,19 +2,24 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom.operators import compose, shuffles
+from graphloom.operators import compose, models, records, shuffles
+from graphloom.operators.retrieval import top_k
 from graphloom.plans.adapters import Tables
 
 SF = "/root/testdata/sf0.001"
 
 
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def dealt(df, key):
     """Tasks of each explicit repartition by a key in the plan."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
-    return [int(n) for n in re.findall(rf"RepartitionByExpression \[{key}#\w+\], (\d+)", plan)]
+    return [int(n) for n in re.findall(rf"RepartitionByExpression \[{key}#\w+\], (\d+)", joins(df))]
 
 
 def test_tasks_follow_the_bytes_of_files(spark, tmp_path, monkeypatch):
@@ -49,3 +54,10 @@ def test_solutions_do_not_depend_on_tasks(spark, monkeypatch, each):
     monkeypatch.setattr(shuffles, "BYTES", 2**30)
     want = compose.solved_rows(rows).agg(F.count_distinct("formulation", "drug").alias("n"), F.sum(F.col("w") * F.col("risk")).alias("v"), F.count("*").alias("h")).first()
     assert (r["n"], r["h"], round(r["v"], 6)) == (want["n"], want["h"], round(want["v"], 6))
+
+
+def test_records_are_dealt_by_input(spark, monkeypatch):
+    from graphloom.plans import studies
+
+    monkeypatch.setattr(shuffles, "BYTES", 3000)
+    assert min(dealt(studies._records(Tables(spark, SF)), "formulation")) > 4
