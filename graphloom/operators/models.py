@@ -6,11 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import shuffles
 from .labels import CYP5, assign_folds, by_pattern, prior_scores, with_percentiles
 
 #: Levels that an interaction profile counts, before its total.
@@ -85,14 +87,16 @@ def message_passing(nodes: DataFrame, edges: DataFrame, layer: dict[str, tuple[l
 
     edges: etype, src, dst, read from src to dst.  layer: per relation W_nb, W_own and b.  A relation without edges
     into a node adds its own part only where one of its edges ends at a node of that node's type (`type` of nodes).
-    The mean is taken by element in long form, so the shuffle combines on the map side whatever a node's degree is.
+    The mean is a column per element, so the shuffle combines on the map side whatever a node's degree is; nodes meet the
+    edges whole, and the ends that edges have are made distinct before their types are looked up.
     """
     size = len(next(iter(layer.values()))[2])
-    long = nodes.select(F.col("id").alias("src"), F.posexplode("x").alias("dim", "v"))
-    used = edges.where(F.col("etype").isin(list(layer)))
-    means = used.join(long, "src").groupBy("etype", "dst", "dim").agg(F.avg("v").alias("v"))
-    vectors = means.groupBy("etype", "dst").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "v"))), lambda e: e["v"]).alias("m"))
-    into = used.join(nodes.select(F.col("id").alias("dst"), "type"), "dst").select("etype", "type").distinct()
+    n = shuffles.tasks(edges, nodes)
+    used = edges.where(F.col("etype").isin(list(layer))).select("etype", "src", "dst")
+    known = nodes.where(F.size("x") > 0).select(F.col("id").alias("src"), "x")
+    means = used.repartition(n, "src").join(known, "src").groupBy("etype", "dst").agg(*[F.avg(F.get("x", F.lit(i))).alias(f"m{i}") for i in range(size)])
+    vectors = means.select("etype", "dst", F.array(*[f"m{i}" for i in range(size)]).alias("m"))
+    into = used.select("etype", "dst").distinct().join(nodes.select(F.col("id").alias("dst"), "type"), "dst").select("etype", "type").distinct()
     spread = nodes.join(F.broadcast(into), "type", "left").join(vectors.withColumnRenamed("dst", "id"), ["etype", "id"], "left")
     zero = F.array(*[F.lit(0.0)] * size)
     part = F.lit(None).cast("array<double>")

@@ -61,3 +61,17 @@ def test_records_are_dealt_by_input(spark, monkeypatch):
 
     monkeypatch.setattr(shuffles, "BYTES", 3000)
     assert min(dealt(studies._records(Tables(spark, SF)), "formulation")) > 4
+
+
+def test_messages_are_dealt_by_input_and_not_multiplied(spark, tmp_path, monkeypatch):
+    nodes = [("a", "herb", [1.0, 2.0]), ("b", "herb", [3.0, 4.0]), ("c", "herb", None), ("d", "compound", [0.0, 1.0]), ("e", "compound", [5.0, 5.0]), ("f", "compound", [1.0, 1.0])]
+    edges = [("r", "a", "d"), ("r", "b", "d"), ("r", "c", "e"), ("r", "zz", "e"), ("r", "a", "zz"), ("s", "d", "a"), ("other", "d", "b")]
+    spark.createDataFrame(nodes, "id string, type string, x array<double>").write.parquet(str(tmp_path / "nodes"))
+    spark.createDataFrame(edges, "etype string, src string, dst string").write.parquet(str(tmp_path / "edges"))
+    monkeypatch.setattr(shuffles, "BYTES", 100)
+    eye = [[1.0, 0.0], [0.0, 1.0]]
+    got = models.message_passing(spark.read.parquet(str(tmp_path / "nodes")), spark.read.parquet(str(tmp_path / "edges")), {"r": (eye, eye, [0.5, 0.0]), "s": (eye, eye, [0.0, 0.0])})
+    assert min(dealt(got, "src")) > 4 and "posexplode" not in joins(got)
+    rows = {r["id"]: r["x"] for r in got.collect()}
+    assert rows["a"] == [1 + 1 + 0, 2 + 2 + 1] and rows["b"] == [6.0, 8.0]  # b has no message, but its type has
+    assert rows["d"] == [2.0 + 0.5, 3.0 + 1 + 1] and rows["e"] == [10.5, 10.0] and rows["f"] == [2.5, 2.0]
