@@ -225,13 +225,20 @@ def factor_learner(rank: int = 8, rounds: int = 6, reg: float = 0.3, seed: int =
     return run
 
 
-def out_of_fold(pairs: DataFrame, learner: FitPredict, k: int = 5, seed: int = 0, key: str = "compound") -> DataFrame:
+def out_of_fold(pairs: DataFrame, learner: FitPredict, k: int = 5, seed: int = 0, key: str = "compound", features: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(compound, drug, fold, p): every pair once, scored by a model that saw no pair of its compound.
 
-    Labels 0 and 1 are learned from; other pairs are scored only.
+    Labels 0 and 1 are learned from; other pairs are scored only.  Pairs and folds are made once and kept, as every
+    training and scoring reads them.  `features`: compounds and drugs of `pair_features`, joined on each reading, so
+    that what is kept has no x.  Drugs are a catalogue; they are broadcast.
     """
+    n = shuffles.tasks(pairs, *(features or ()))
     folds = assign_folds(pairs.select(key), k, seed, key)
-    rows = pairs.join(folds, key)
+    rows = pairs.repartition(n, key).join(folds.repartition(n, key), key).sortWithinPartitions(key).persist(StorageLevel.MEMORY_AND_DISK)
+    if features:
+        compounds = features[0].select(F.col("id").alias("compound"), F.col("x").alias("xc")).repartition(n, "compound").sortWithinPartitions("compound").persist(StorageLevel.MEMORY_AND_DISK)
+        drugs = features[1].select(F.col("id").alias("drug"), F.col("x").alias("xd")).persist(StorageLevel.MEMORY_AND_DISK)
+        rows = rows.join(compounds, "compound").join(F.broadcast(drugs), "drug").withColumn("x", F.concat("xc", "xd")).drop("xc", "xd")
     out = None
     for f in range(k):
         one = learner(rows.where((F.col("fold") != f) & F.col("label").isin(0, 1)).drop("fold"), rows.where(F.col("fold") == f).drop("label"))

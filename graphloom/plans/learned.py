@@ -67,7 +67,7 @@ OOF = """f as (select compound, (row_number() over (order by md5('0|' || compoun
 
 @query(f"with {LABELS}, {OOF} select compound, drug, fold, round(p, {R}) p from oof")
 def out_of_fold_prior(t: Tables) -> DataFrame:
-    return rounded(models.out_of_fold(t.labels_(), models.prior_learner()), "p")
+    return rounded(models.out_of_fold(t.labels_().select("compound", "drug", "label"), models.prior_learner()), "p")
 
 
 @query(f"""with {LABELS}, {OOF}, {CONTAINS}, risk as (select herb, drug, round(avg(p), 12) risk, count(distinct compound) n_compounds from contains join oof using (compound) group by 1, 2),
@@ -75,7 +75,7 @@ def out_of_fold_prior(t: Tables) -> DataFrame:
    select cast(gold.herb as bigint) herb, cast(gold.drug as integer) drug, gold_label, round(risk, {R}) risk, coalesce(n_compounds, 0) n_compounds, round(pct, {R}) pct from gold left join r using (herb, drug)""")
 def herb_drug_model_scores(t: Tables) -> DataFrame:
     gold = t.spark.createDataFrame(GOLD, "herb long, drug int, gold_label int")
-    return rounded(models.model_scores(models.out_of_fold(t.labels_(), models.prior_learner()), t.contains(), gold).fillna(0, ["n_compounds"]), "risk", "pct")
+    return rounded(models.model_scores(models.out_of_fold(t.labels_().select("compound", "drug", "label"), models.prior_learner()), t.contains(), gold).fillna(0, ["n_compounds"]), "risk", "pct")
 
 
 @query()
@@ -86,7 +86,7 @@ def out_of_fold_forest(t: Tables) -> DataFrame:
     nations = t.nation.select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").cast("string").alias("cls"))
     pairs = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("src"), (F.col("o_orderkey") % 25).cast("int").alias("dst"), F.col("o_orderpriority").alias("level"))
     drugs = models.drug_features(nations, t.roles(0), pairs, ["0", "1", "2", "3", "4"], ["1-URGENT", "2-HIGH"])
-    return models.out_of_fold(models.pair_features(t.labels_(), compounds, drugs), models.forest_learner(trees=5, depth=5), k=3)
+    return models.out_of_fold(t.labels_().select("compound", "drug", "label"), models.forest_learner(trees=5, depth=5), k=3, features=(compounds, drugs))
 
 
 @query(f"""with k as (select distinct l_orderkey formulation, l_suppkey herb, seed from lineitem cross join range(3) s(seed)),

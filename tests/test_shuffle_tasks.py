@@ -75,3 +75,17 @@ def test_messages_are_dealt_by_input_and_not_multiplied(spark, tmp_path, monkeyp
     rows = {r["id"]: r["x"] for r in got.collect()}
     assert rows["a"] == [1 + 1 + 0, 2 + 2 + 1] and rows["b"] == [6.0, 8.0]  # b has no message, but its type has
     assert rows["d"] == [2.0 + 0.5, 3.0 + 1 + 1] and rows["e"] == [10.5, 10.0] and rows["f"] == [2.5, 2.0]
+
+
+def test_folds_read_kept_pairs(spark):
+    pairs = spark.createDataFrame([(c, d, (c + d) % 3 - 1) for c in range(20) for d in range(3)], "compound int, drug int, label int")
+    compounds = spark.createDataFrame([(c, [float(c), 1.0]) for c in range(19)], "id int, x array<double>")
+    drugs = spark.createDataFrame([(d, [float(d)]) for d in range(3)], "id int, x array<double>")
+    learner = lambda train, test: test.crossJoin(train.agg(F.sum(F.col("x")[0] * F.col("label")).alias("t"))).withColumn("p", F.col("t") + F.col("x")[0] * 10 + F.col("x")[2])
+    late = models.out_of_fold(pairs, learner, k=3, features=(compounds, drugs))
+    assert joins(late).count("InMemoryRelation") >= 3
+    folds = {r["compound"]: r["fold"] for r in late.collect()}
+    rows = {(r["compound"], r["drug"]): r["p"] for r in late.collect()}
+    assert len(rows) == 57 == late.count()  # compound 19 has no features
+    for (c, d), p in rows.items():
+        assert p == sum(a * ((a + b) % 3 - 1) for a in range(19) for b in range(3) if folds[a] != folds[c] and (a + b) % 3) + 10 * c + d
