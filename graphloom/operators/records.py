@@ -104,8 +104,14 @@ def explain_pairs(contains: DataFrame, predicted: DataFrame, labels: DataFrame,
     contains: herb, compound; predicted: compound, drug, p; labels: compound, drug, label, enzymes ("a;b"); inhibits:
     compound, enzyme, source; substrate: drug, enzyme, source.  herb, drug, rank, compound, p, label, enzyme,
     inhibitor_source, substrate_source; a path without a known source has "n/a"; without a label 1 there is no path.
+    A compound's scores cross the shuffle to its herbs as one list; rows are multiplied by the drugs only where they are ranked.
     """
-    best = top_k(contains.distinct().join(predicted, "compound"), ["herb", "drug"], [F.desc("p"), F.col("compound")], top)
+    n = shuffles.tasks(contains, predicted)
+    scores = predicted.select("compound", "drug", "p").repartition(n, "compound").groupBy("compound").agg(F.sort_array(F.collect_list(F.struct("p", "drug"))).alias("s"))
+    scores = scores.select("compound", F.col("s.p").alias("p"), F.col("s.drug").alias("drug"))  # equal scores side by side take less room
+    listed = contains.select("herb", "compound").repartition(n, "compound").distinct().join(scores, "compound").repartition(n, "herb")
+    each = listed.select("herb", "compound", F.inline(F.arrays_zip("drug", "p")))
+    best = top_k(each, ["herb", "drug"], [F.desc("p"), F.col("compound")], top)
     known = best.join(labels, ["compound", "drug"], "left")
     step = F.when(F.col("label") == 1, F.filter(F.split("enzymes", ";"), lambda e: e != ""))
     steps = known.withColumn("enzyme", F.explode_outer(step)).drop("enzymes")

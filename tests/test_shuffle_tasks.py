@@ -77,6 +77,18 @@ def test_messages_are_dealt_by_input_and_not_multiplied(spark, tmp_path, monkeyp
     assert rows["d"] == [2.0 + 0.5, 3.0 + 1 + 1] and rows["e"] == [10.5, 10.0] and rows["f"] == [2.5, 2.0]
 
 
+def test_scores_reach_herbs_as_lists(spark):
+    rng = np.random.default_rng(5)
+    contains = spark.createDataFrame([(int(h), int(c)) for h in range(5) for c in rng.integers(0, 30, 25)], "herb int, compound int")
+    predicted = spark.createDataFrame([(c, d, None if rng.random() < 0.1 else float(rng.integers(0, 3))) for c in range(30) for d in range(4) if rng.random() < 0.8], "compound int, drug int, p double")
+    none = spark.createDataFrame([], "compound int, drug int, label int, enzymes string")
+    got = records.explain_pairs(contains, predicted, none, spark.createDataFrame([], "compound int, enzyme string, source string"), spark.createDataFrame([], "drug int, enzyme string, source string"))
+    assert dealt(got, "herb")
+    want = top_k(contains.distinct().join(predicted, "compound"), ["herb", "drug"], [F.desc("p"), F.col("compound")], 5)
+    rows = lambda df: sorted(map(repr, df.select("herb", "drug", "rank", "compound", "p").collect()))
+    assert rows(got) == rows(want)
+
+
 def test_folds_read_kept_pairs(spark):
     pairs = spark.createDataFrame([(c, d, (c + d) % 3 - 1) for c in range(20) for d in range(3)], "compound int, drug int, label int")
     compounds = spark.createDataFrame([(c, [float(c), 1.0]) for c in range(19)], "id int, x array<double>")
