@@ -76,82 +76,132 @@ def piece_starts(points: np.ndarray, off: np.ndarray) -> np.ndarray:
 class BatchEncoder:
     """Ids of many texts at once; pieces seen before are looked up.
 
-    The memory of pieces is emptied when it holds `most` of them; that changes no result.
+    Known pieces lie in a table of slots (hash, place and number of ids), half of them free at least, and are looked up
+    and added all at once.  The memory of pieces is emptied when it holds `most` of them; that changes no result.
     """
 
-    def __init__(self, path: str | None = None, most: int = 1 << 17):
+    def __init__(self, path: str | None = None, most: int = 1 << 18):
         self.enc, self.most = encoder(path or vocabulary_path()), most
         self._reset()
 
     def _reset(self) -> None:
-        self.known: dict[int, int] = {}
-        self.ids = np.zeros(0, np.uint32)
-        self.at = np.zeros(1, np.int64)
-
-    def _learn(self, keys: list[int], pieces: list[str]) -> None:
-        run = self.enc._core_bpe.encode_ordinary
-        new, k = [run(p) for p in pieces], len(self.known)
-        sizes = np.fromiter(map(len, new), np.int64, len(new))
-        flat = np.fromiter((i for x in new for i in x), np.uint32, int(sizes.sum()))
-        a = self.at[k]
-        self.ids = np.concatenate([self.ids[:a], flat])
-        self.at = np.concatenate([self.at[: k + 1], a + np.cumsum(sizes)])
-        self.known.update(zip(keys, range(k, k + len(keys)), strict=True))
+        self.ids, self.used, self.known = np.zeros(1 << 16, np.uint32), 0, 0
+        self._table((2 * self.most - 1).bit_length())
+
+    def _table(self, bits: int) -> None:
+        self.bits = max(bits, 1)
+        self.keys = np.zeros(1 << self.bits, np.uint64)  # 0: free
+        self.starts = np.zeros(1 << self.bits, np.int64)
+        self.sizes = np.zeros(1 << self.bits, np.int32)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The slot that has each hash, or the free one where the search for it ends."""
+        slot = (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        seen = self.keys[slot]
+        left = np.flatnonzero((seen != h) & (seen != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & (len(self.keys) - 1)
+            seen = self.keys[slot[left]]
+            left = left[(seen != h[left]) & (seen != 0)]
+        return slot
+
+    def _put(self, h: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> None:
+        """Distinct hashes that have no slot yet, with their ids' places."""
+        slot, left = self._find(h), np.arange(len(h))
+        while len(left):
+            self.keys[slot[left]] = h[left]  # of those that want one slot, one gets it
+            left = left[self.keys[slot[left]] != h[left]]
+            slot[left] = self._find(h[left])
+        self.starts[slot], self.sizes[slot] = starts, sizes
+        self.known += len(h)
+
+    def _learn(self, h: np.ndarray, points: np.ndarray, s: np.ndarray, e: np.ndarray) -> None:
+        if 2 * (self.known + len(h)) > len(self.keys):
+            own = np.flatnonzero(self.keys)
+            old = self.keys[own], self.starts[own], self.sizes[own]
+            self._table((2 * (self.known + len(h))).bit_length())
+            self.known = 0
+            self._put(*old)
+        kind = _classes()[points[e - 1]]
+        for mark, own in (("0", kind == LETTER), ("a", (kind == NUMBER) | (kind == OTHER)), ("", kind == BLANK)):
+            own = np.flatnonzero(own)
+            if not len(own):
+                continue
+            ids, sizes = self._marked(mark, points, s[own], e[own]) if mark else self._single(points, s[own], e[own])
+            end = self.used + len(ids)
+            if end > len(self.ids):
+                self.ids = np.concatenate([self.ids[: self.used], np.empty(end, np.uint32)])
+            self.ids[self.used : end] = ids
+            self._put(h[own], self.used + np.cumsum(sizes) - sizes, sizes)
+            self.used = end
+
+    def _marked(self, mark: str, points: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces and the number of each one's, encoded as one text with a mark before each piece.
+
+        The mark is of another kind than the pieces, which stay apart by it and have none of its bytes, so not its id.
+        """
+        size = e - s + 1
+        first = np.cumsum(size) - size
+        text = points[np.maximum(np.arange(int(size.sum())) + np.repeat(s - first - 1, size), 0)]
+        text[first] = ord(mark)
+        ids = np.frombuffer(self.enc._core_bpe.encode_to_tiktoken_buffer(text.astype("<u4").tobytes().decode("utf-32-le"), set()), np.uint32)
+        own = ids != self.enc.encode_ordinary(mark)[0]
+        return ids[own], np.diff(np.append(np.flatnonzero(~own), len(ids))) - 1
+
+    def _single(self, points: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        new = [self.enc.encode_ordinary(points[a:b].astype("<u4").tobytes().decode("utf-32-le")) for a, b in zip(s.tolist(), e.tolist(), strict=True)]
+        return np.array([i for x in new for i in x], np.uint32), np.array([len(x) for x in new], np.int64)
 
     def encode(self, data: np.ndarray, off: np.ndarray, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids (uint32) of the texts in UTF-8 one after another, and n+1 offsets; `end` is put after each text."""
         n = len(off) - 1
         whole = data.tobytes().decode("utf-8", "replace") if len(data) else ""
         points = np.frombuffer(whole.encode("utf-32-le"), np.uint32)
-        lead = np.zeros(len(data) + 1, np.int64)
-        np.cumsum((data & 0xC0) != 0x80, out=lead[1:])
-        at = lead[off]
-        odd = points >= _LATIN
-        odd[:-1] |= (points[:-1] == 0x27) & (_classes()[np.minimum(points[1:], _LATIN - 1)] == LETTER)
+        at = off - np.searchsorted(np.flatnonzero((data & 0xC0) == 0x80), off)
+        odd = np.flatnonzero(points >= _LATIN)
+        marks = np.flatnonzero(points[:-1] == 0x27)
+        odd = np.concatenate([odd, marks[_classes()[np.minimum(points[marks + 1], _LATIN - 1)] == LETTER]])
         slow = np.zeros(n, bool)
-        if odd.any():
-            slow[np.searchsorted(at, np.flatnonzero(odd), "right") - 1] = True
-        if len(self.known) > self.most:
+        if len(odd):
+            slow[np.searchsorted(at, odd, "right") - 1] = True
+            points = points.copy()
+            points[odd] = 0x20
+        if self.known > self.most:
             self._reset()
-        points = np.where(odd, 0x20, points) if slow.any() else points
         s = np.flatnonzero(piece_starts(points, at)) if len(points) else np.zeros(0, np.int64)
         e = np.append(s[1:], len(points)).astype(np.int64)
         row_at = np.searchsorted(s, at)
-        rows = np.repeat(np.arange(n), np.diff(row_at))
         if slow.any():
-            fast = ~slow[rows]
-            s, e, rows = s[fast], e[fast], rows[fast]
-        h = _point_hashes(points, s, e)
-        coded = pa.array(h).dictionary_encode()
-        codes, values = coded.indices.to_numpy(), coded.dictionary.to_numpy()
-        firsts = np.empty(len(values), np.int64)
-        firsts[codes[::-1]] = np.arange(len(codes))[::-1]
-        keys = values.tolist()
-        new = [(key, f) for key, f in zip(keys, firsts.tolist(), strict=True) if key not in self.known]
-        if new:
-            begin, stop = s.tolist(), e.tolist()
-            self._learn([key for key, _ in new], [whole[begin[f] : stop[f]] for _, f in new])
-        place = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))
-        k = place[codes]
-        size = self.at[k + 1] - self.at[k]
-        per_row = np.bincount(rows, size, n).astype(np.int64) if len(rows) else np.zeros(n, np.int64)
+            per_row = np.diff(row_at)
+            fast = np.repeat(~slow, per_row)
+            s, e = s[fast], e[fast]
+            row_at = np.concatenate([[0], np.cumsum(np.where(slow, 0, per_row))])
+        h = np.maximum(_point_hashes(points, s, e), 1)
+        slot = self._find(h)
+        new = np.flatnonzero(self.keys[slot] != h)
+        if len(new):
+            keys, first = np.unique(h[new], return_index=True)
+            self._learn(keys, points, s[new[first]], e[new[first]])
+            slot = self._find(h)
+        size = self.sizes[slot]
+        before = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        per_row = np.diff(before[row_at])
         others = {i: np.array(self.enc.encode_ordinary(whole[at[i] : at[i + 1]]), np.uint32) for i in np.flatnonzero(slow).tolist()}
         for i, ids in others.items():
             per_row[i] = len(ids)
         out_at = np.zeros(n + 1, np.int64)
         np.cumsum(per_row + (end is not None), out=out_at[1:])
-        out = np.zeros(out_at[-1], np.uint32)
-        total = int(size.sum())
-        if total:
-            before = np.cumsum(size) - size
-            inner = np.arange(total) - np.repeat(before, size)
-            row_first = before[np.searchsorted(rows, rows)] if len(rows) else before
-            dest = out_at[rows] + before - row_first
-            out[np.repeat(dest, size) + inner] = self.ids[np.repeat(self.at[k], size) + inner]
+        found = self.ids[np.arange(before[-1]) + np.repeat(self.starts[slot] - before[:-1], size)]
+        if not others and end is None:
+            return found, out_at
+        out, looked_up = np.empty(out_at[-1], np.uint32), np.ones(out_at[-1], bool)
         for i, ids in others.items():
             out[out_at[i] : out_at[i] + len(ids)] = ids
+            looked_up[out_at[i] : out_at[i] + len(ids)] = False
         if end is not None:
             out[out_at[1:] - 1] = end
+            looked_up[out_at[1:] - 1] = False
+        out[looked_up] = found
         return out, out_at
 
 

@@ -8,6 +8,7 @@ and positions that start again at 0 in each segment.  Overlong documents are cut
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -83,26 +84,26 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, size: int = S
         from .bpe import BatchEncoder
 
         enc, number = BatchEncoder(tokenizer), TaskContext.get().partitionId() << 40
+        steps = np.arange(size, dtype="<u4")
         held: list[tuple] = []
         total = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal number
-            out: list[tuple] = []
-            for line in best_fit_decreasing(np.array([len(x[3]) for x in held], np.int64), size):
-                own = [held[i] for i in line]
-                ids, at = np.full(size, pad, "<u4"), np.zeros(size, "<u4")
-                bounds = np.concatenate([[0], np.cumsum([len(x[3]) for x in own])]).astype(np.int32)
-                for (_, _, _, x), a, b in zip(own, bounds[:-1], bounds[1:], strict=True):
-                    ids[a:b] = x
-                    at[a:b] = np.arange(b - a)
-                out.append((number, int(bounds[-1]), [x[0] for x in own], [x[1] for x in own], [x[2] for x in own], bounds.tolist(), ids.tobytes(), at.tobytes()))
-                number += 1
-                if len(out) == 256:
-                    yield batch_of(out)
-                    out = []
-            if out:
-                yield batch_of(out)
+            lines = best_fit_decreasing(np.array([len(x[3]) for x in held], np.int64), size)
+            for first in range(0, len(lines), 256):
+                some = lines[first : first + 256]
+                ids, at = np.full((len(some), size), pad, "<u4"), np.zeros((len(some), size), "<u4")
+                out: list[tuple] = []
+                for j, line in enumerate(some):
+                    own = [held[i] for i in line]
+                    bounds = [0, *accumulate(len(x[3]) for x in own)]
+                    for (_, _, _, x), a, b in zip(own, bounds[:-1], bounds[1:], strict=True):
+                        ids[j, a:b] = x
+                        at[j, a:b] = steps[: b - a]
+                    out.append((number + j, bounds[-1], [x[0] for x in own], [x[1] for x in own], [x[2] for x in own], bounds))
+                number += len(some)
+                yield batch_of(out, ids, at)
             held.clear()
 
         for batch, data, off in slices(batches, "text"):
@@ -120,12 +121,15 @@ def packed_matrices(docs: DataFrame, tokenizer: str | None = None, size: int = S
     return ship(docs).select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")).mapInArrow(lean(run), SCHEMA)
 
 
-TYPES = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary())
+TYPES = (pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32()))
 NAMES = ("sequence_id", "n_tokens", "doc_ids", "pieces", "starts", "cu_seqlens", "input_ids", "position_ids")
 
 
-def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)], names=list(NAMES))
+def batch_of(rows: list[tuple], *matrices: np.ndarray) -> pa.RecordBatch:
+    """Columns of the rows, and each matrix as a column whose values are its lines' bytes."""
+    offsets = [pa.py_buffer(np.arange(len(m) + 1, dtype=np.int32) * m[0].nbytes) for m in matrices]
+    lines = [pa.Array.from_buffers(pa.binary(), len(m), [None, o, pa.py_buffer(m)]) for m, o in zip(matrices, offsets, strict=True)]
+    return pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), TYPES, strict=True)), *lines], names=list(NAMES))
 
 
 def write_matrices(packed: DataFrame, path: str) -> None:

@@ -90,6 +90,43 @@ def test_ids_equal_the_tokenizers_library(texts):
             assert ids[at[i] : at[i + 1]].tolist() == [*ref.encode(t, add_special_tokens=False).ids, 0], t[:30]
 
 
+class Counted:
+    """An encoder that notes its calls."""
+
+    def __init__(self, inner, calls: list[str]):
+        self.inner, self.calls = inner, calls
+
+    def __getattr__(self, name):
+        value = getattr(self.inner, name)
+        if name == "_core_bpe":
+            return Counted(value, self.calls)
+        return lambda *args: (self.calls.append(name), value(*args))[1]
+
+
+@pytest.mark.parametrize("most", [4, 1 << 18])
+def test_new_pieces_are_encoded_together(most):
+    """Calls don't grow with the pieces; the memory of pieces grows, is emptied and changes no id."""
+    ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ref.encode_special_tokens = True
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcé0ñoz"), 7)) for _ in range(1500)]
+    marks = ["".join(rng.choice(list("'!,.a0½"), 4)) for _ in range(300)]
+    own = [" ".join(words), "".join(w + m for w, m in zip(words, marks * 5, strict=True)), "a0'a ' 0", "", " \t\n a", *marks[:50], "ɐ'", "a" * 300]
+    enc, calls = bpe.BatchEncoder(most=most), []
+    enc.enc = Counted(enc.enc, calls)
+    off = np.concatenate([[0], np.cumsum([len(t.encode()) for t in own])])
+    data = np.frombuffer("".join(own).encode(), np.uint8)
+    ids, at = enc.encode(data, off)
+    slow = sum("ɐ" in t or any(a == "'" and b.isalpha() for a, b in zip(t, t[1:], strict=False)) for t in own)
+    assert len(calls) <= slow + 10
+    for k in range(len(own)):  # one by one, then again
+        for _ in range(2):
+            again, _ = enc.encode(data[off[k] : off[k + 1]], off[k : k + 2] - off[k], 7)
+            assert again.tolist() == [*ids[at[k] : at[k + 1]].tolist(), 7]
+        assert ids[at[k] : at[k + 1]].tolist() == ref.encode(own[k], add_special_tokens=False).ids, own[k][:30]
+    assert len(enc.keys) >= 2 * enc.known
+
+
 def test_packing(docs, none, texts):
     ref = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     ref.encode_special_tokens = True
